@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import mixing, quality_rules
+from lamina.llm import mixing, packing, quality_rules
 from lamina.llm.common import table
+from lamina.llm.tokenizing import public_path
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_pieces(docs, public_path("word_bpe_49k.json")))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +24,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
