@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import mixing, packing, quality_rules, token_files, warc
+from lamina.llm import iblt, mixing, packing, quality_rules, token_files, warc
 from lamina.llm.common import table
 from lamina.llm.tokenizing import public_path
 
@@ -14,6 +14,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_path("byte_bpe_50k.json"), 50_257)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -33,6 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_fingerprints": op5_fingerprints,
     "op3_token_files": op3_token_files,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
