@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamina.llm import iblt, mixing, packing, quality_rules, token_files, warc
-from lamina.llm.common import table
+from lamina.llm import iblt, langid, mixing, packing, quality_rules, token_files, warc
+from lamina.llm.common import remainder, table
 from lamina.llm.tokenizing import public_path
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
+    docs = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), langid.predicted(net, F.col("text")).alias("p"))
+    return docs.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.round_trip(docs, public_path("byte_bpe_50k.json"), 50_257)
@@ -37,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op5_fingerprints": op5_fingerprints,
     "op3_token_files": op3_token_files,
     "op6_warc": op6_warc,
