@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import iblt, langid, mixing, packing, quality_rules, token_files, warc
+from lamina.llm import iblt, jaccard_join, langid, mixing, packing, quality_rules, token_files, warc
 from lamina.llm.common import remainder, table
 from lamina.llm.tokenizing import public_path
 
@@ -39,12 +39,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.rule_columns(docs).select("doc_id", *quality_rules.COUNTS)
 
 
 QUERIES = {
+    "op9_jaccard_join": op9_jaccard_join,
     "op1_language": op1_language,
     "op5_fingerprints": op5_fingerprints,
     "op3_token_files": op3_token_files,
