@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import iblt, jaccard_join, langid, mixing, packing, quality_rules, token_files, warc
+from lamina.llm import iblt, jaccard_join, langid, mixing, packing, quality_rules, token_files, toxicity, warc
 from lamina.llm.common import remainder, table
 from lamina.llm.tokenizing import public_path
 
@@ -17,6 +17,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scorer = toxicity.fit(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
+    docs = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(scorer, F.col("text")).alias("score"))
+    return docs.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.round_trip(docs, public_path("byte_bpe_50k.json"), 50_257)
@@ -49,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op1_language": op1_language,
     "op5_fingerprints": op5_fingerprints,
