@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import iblt, jaccard_join, langid, mixing, packing, quality_rules, token_files, toxicity, warc
+from lamina.llm import hmm, iblt, jaccard_join, langid, mixing, packing, quality_rules, token_files, toxicity, warc
 from lamina.llm.common import remainder, table
 from lamina.llm.tokenizing import public_path
 
@@ -29,6 +29,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_path("byte_bpe_50k.json"), 50_257)
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return hmm.score(docs.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held"), "text"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_hmm": op4_hmm,
     "op2_toxicity": op2_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op1_language": op1_language,
