@@ -5,7 +5,7 @@
    one of every set at least ``s`` alike.  Sets that share such a hash form a
    region around a pivot, the smallest id that has it.
 3. A hash of many sets would make a region of unlike sets, so frequent hashes
-   are set aside.  A set with L other hashes among its first 1.5 L ("settled")
+   are set aside.  A set with L other hashes among its first 1.25 L ("settled")
    goes to the regions of those L alone.  Any other set goes to the regions of
    all its other hashes, and to regions of its first L hashes that hold such
    sets only.  As ``first_length`` hashes of it are known, it still meets every
@@ -45,7 +45,10 @@ from pyspark.sql import functions as F
 from lamina.llm.common import staged
 
 #: A hash in more sets than this is frequent.
-FREQUENT = 24
+FREQUENT = 2
+#: A settled set has its L other hashes among this many times L; rounds of dropping sets that cannot have a partner.
+SETTLED = 1.25
+DROPS = 3
 #: Sets of a region that one task joins; larger regions are split by sizes, then around so many pivots.
 REGION_SETS = 5000
 SPLIT_PIVOTS = 12
@@ -53,13 +56,11 @@ SPLIT_PIVOTS = 12
 BROADCAST_ROWS = 500_000
 #: Words remembered by one worker with their hashes.
 REMEMBERED = 500_000
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Words(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -72,16 +73,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, width: int, known: dict) -> np.ndarray:
-    """Sorted distinct 56-bit hashes of the shingles of a text."""
-    tokens = (text or "").translate(_LOWER).translate(_SPACES).split(" ") if text else []
-    h = np.array([known[w] for w in tokens if w], np.uint64)
+    """Sorted distinct 48-bit hashes of the shingles of a text."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z and the six ASCII spaces
+    h = np.array([known[w] for w in tokens], np.uint64)
     if not len(h):
         return h
     n = max(1, len(h) - width + 1)
     acc = np.full(n, len(h) if len(h) < width else width, np.uint64)
     for k in range(min(width, len(h))):
         acc = _mix(acc * _A + h[k : k + n] * _B)
-    return np.unique(acc >> np.uint64(8))
+    return np.unique(acc >> np.uint64(16))
+
+
+def pack(h: np.ndarray) -> bytes:
+    """Six bytes for each hash in planes; as hashes are sorted, the first planes compress well."""
+    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 2:] = planes.T
+    return out.view(">u8").reshape(-1).astype(np.uint64)
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -92,7 +105,7 @@ def prefix_length(n: int, similarity: float) -> int:
 def first_length(n: int, similarity: float) -> int:
     """How many lowest hashes of a set are looked at; see point 3."""
     most = prefix_length(n, similarity)
-    return min(n, most + int(np.ceil(0.5 * (most / similarity + 1))) + 1)
+    return min(n, most + int(np.ceil((SETTLED - 1) * (most / similarity + 1))) + 1)
 
 
 def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -119,24 +132,33 @@ def region_members(reps: DataFrame, similarity: float) -> DataFrame:
     most = (n - F.ceil(n * s - 1e-9) + 1).cast("int")
     rows = reps.select("rep", "n", most.alias("most"), F.size("first").alias("known"), F.posexplode("first").alias("pos", "key"))
     keys = rows.groupBy("key").agg(F.count("*").alias("sets"), F.min("rep").alias("pivot")).where("sets > 1")
-    shared = rows.join(keys, "key").select("rep", "n", "most", "known", "pos", "pivot", (F.col("sets") > FREQUENT).cast("int").alias("frequent"))
+    shared = rows.join(keys, "key").withColumn("frequent", (F.col("sets") > FREQUENT).cast("int"))
     own = Window.partitionBy("rep")
-    settled_in = F.least(F.floor(F.col("most") * 1.5), F.col("n"))
-    shared = (
-        shared.withColumn("before", F.sum("frequent").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("frequent"))
-        .withColumn("settled", settled_in - F.sum(F.when(F.col("pos") < settled_in, F.col("frequent")).otherwise(0)).over(own) >= F.col("most"))
-        .withColumn("strong", F.count("*").over(own) >= F.col("known") - F.col("most") + 1)
+    settled_in = F.least(F.floor(F.col("most") * SETTLED), F.col("n"))
+    shared = shared.withColumn("before", F.sum("frequent").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("frequent")).withColumn(
+        "settled", settled_in - F.sum(F.when(F.col("pos") < settled_in, F.col("frequent")).otherwise(0)).over(own) >= F.col("most")
     )
     in_settled = (F.col("frequent") == 0) & (~F.col("settled") | (F.col("pos") - F.col("before") < F.col("most")))
     in_rest = ~F.col("settled") & (F.col("pos") < F.col("most"))
     kinds = F.array_compact(F.array(F.when(in_settled, F.lit(0)), F.when(in_rest, F.lit(1))))
-    members = shared.select(F.explode(kinds).alias("kind"), "pivot", "rep", "n", "strong").distinct()
+    need = F.col("known") - F.col("most") + 1
+    shared = shared.select("key", "rep", "n", need.alias("need"), kinds.alias("kinds"), "pivot")
+    shared = staged(shared, "shared")
+    for _ in range(DROPS - 1):
+        left = shared.join(possible_members(shared, similarity).select("rep").distinct(), "rep", "left_semi").drop("pivot")
+        keys = left.groupBy("key").agg(F.count("*").alias("sets"), F.min("rep").alias("pivot")).where("sets > 1").drop("sets")
+        shared = staged(left.join(keys, "key"), "shared")
+    return possible_members(shared, similarity).select(F.concat_ws("/", "pivot", "kind").alias("region"), "rep", "n")
+
+
+def possible_members(shared: DataFrame, similarity: float) -> DataFrame:
+    """(pivot, kind, rep, n) that may have a partner in their region, from rows of shared hashes; see point 4."""
     of = Window.partitionBy("pivot", "kind")
-    low, high = F.min(F.when(F.col("strong"), F.col("n"))).over(of), F.max(F.when(F.col("strong"), F.col("n"))).over(of)
-    members = members.withColumn("low", low).withColumn("high", high)
+    members = shared.withColumn("strong", F.count("*").over(Window.partitionBy("rep")) >= F.col("need"))
+    members = members.select(F.explode("kinds").alias("kind"), "pivot", "rep", "n", "strong").distinct()
+    members = members.withColumn("low", F.min(F.when(F.col("strong"), F.col("n"))).over(of)).withColumn("high", F.max(F.when(F.col("strong"), F.col("n"))).over(of))
     members = members.where((F.col("n") >= F.col("low") * similarity - 1) & (F.col("n") <= F.col("high") / similarity + 1))
-    members = members.withColumn("in", F.count("*").over(of)).where("in > 1")
-    return members.select(F.concat_ws("/", "pivot", "kind").alias("region"), "rep", "n")
+    return members.withColumn("in", F.count("*").over(of)).where("in > 1").drop("in", "low", "high", "strong")
 
 
 def with_hashes(docs: DataFrame, width: int) -> DataFrame:
@@ -147,7 +169,7 @@ def with_hashes(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                hashes = pa.array([shingle_set(t, width, known).tobytes() for t in part.column(3).to_pylist()], pa.binary())
+                hashes = pa.array([pack(shingle_set(t, width, known)) for t in part.column(3).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), hashes], ["region", "rep", "n", "hashes"])
 
     return docs.mapInArrow(run, "region string, rep long, n long, hashes binary")
@@ -217,21 +239,16 @@ def _distances(sets: list[np.ndarray], pivot: np.ndarray) -> np.ndarray:
 
 
 def split_large(members: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """Members (region, rep, n, hashes) with regions of more than ``REGION_SETS`` split by sizes, then around pivots, exactly."""
+    """Members (region, rep, n, hashes) of large regions, split by sizes, then around pivots, exactly."""
     s = percent / 100
-    counts = members.groupBy("region").agg(F.count("*").alias("in"))
-    large = [r["region"] for r in counts.where(F.col("in") > REGION_SETS).select("region").take(1)]
-    if not large:
-        return members
-    sized = members.join(counts, "region")
-    small = sized.where(F.col("in") <= REGION_SETS).drop("in")
     step = F.floor(F.log(F.col("n")) / -np.log(s)).cast("int")
-    big = sized.where(F.col("in") > REGION_SETS).drop("in").withColumn("w", F.explode(F.array(step, step + 1)))
+    big, small = members.withColumn("w", F.explode(F.array(step, step + 1))), None
     big = staged(big.select(F.concat_ws("#", "region", "w").alias("region"), "rep", "n", "hashes"), "windows")
     for _ in range(rounds):
         counts = big.groupBy("region").agg(F.count("*").alias("in"))
         sized = big.join(counts, "region")
-        small = small.unionByName(sized.where(F.col("in") <= REGION_SETS).drop("in"))
+        done = sized.where(F.col("in") <= REGION_SETS).drop("in")
+        small = done if small is None else small.unionByName(done)
         big = sized.where(F.col("in") > REGION_SETS)
         if big.isEmpty():
             return small
@@ -240,8 +257,8 @@ def split_large(members: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for region, part in pdf.groupby("region", sort=False):
-                    sets = [np.frombuffer(b, np.uint64) for b in part["hashes"]]
-                    d = np.stack([_distances(sets, np.frombuffer(p["hashes"], np.uint64)) for p in part["pivots"].iloc[0]])
+                    sets = [unpack(b) for b in part["hashes"]]
+                    d = np.stack([_distances(sets, unpack(p["hashes"])) for p in part["pivots"].iloc[0]])
                     take = d <= d.min(axis=0) + 2 * (1 - s) + 1e-9
                     for k in range(len(d)):
                         yield part.loc[take[k], ["rep", "n", "hashes"]].assign(region=f"{region}@{k}")
@@ -257,7 +274,7 @@ def region_links(members: DataFrame, percent: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("rep").sort_values("rep", kind="stable")
         reps = pdf["rep"].to_numpy()
-        found = join_sets([np.frombuffer(b, np.uint64) for b in pdf["hashes"]], percent) if len(reps) > 1 else []
+        found = join_sets([unpack(b) for b in pdf["hashes"]], percent) if len(reps) > 1 else []
         pairs = np.array(found, np.int64).reshape(-1, 2)
         ends = np.sort(reps[pairs], axis=1) if len(pairs) else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
@@ -290,9 +307,18 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_id").alias("rep_set")), "doc_id").where("set_id = rep_set")
     reps = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "first")
     members = staged(region_members(reps, similarity), "members")
-    few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(members) if few else members, docs["doc_id"] == members["rep"]).select("region", "rep", "n", "text")
-    links = region_links(split_large(staged(with_hashes(found, width), "regions"), percent), percent)
+    counts = members.groupBy("region").agg(F.count("*").alias("in"))
+    large = counts.where(F.col("in") > REGION_SETS).drop("in")
+    some = not large.isEmpty()
+
+    def fetched(part: DataFrame) -> DataFrame:
+        few = part.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        found = docs.join(F.broadcast(part) if few else part, docs["doc_id"] == part["rep"])
+        return with_hashes(found.select("region", "rep", "n", "text"), width)
+
+    links = region_links(fetched(members.join(large, "region", "left_anti") if some else members), percent)
+    if some:
+        links = links.unionByName(region_links(split_large(fetched(members.join(large, "region", "left_semi")), percent), percent))
     named = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("joined"))
     out = sets.join(named, "set_id", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

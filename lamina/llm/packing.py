@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import staged
-from lamina.llm.tokenizing import ChunkEncoder
+from lamina.llm.tokenizing import encoder_for
 
 #: Items one task packs, about.
 TASK_ITEMS = 50_000
@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
     """Pieces of at most ``size`` ids of each document with its end id; only longer documents are cut.  ``with_ids`` adds the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):

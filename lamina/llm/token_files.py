@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lamina.llm.common import new_path, staged
-from lamina.llm.tokenizing import ChunkEncoder
+from lamina.llm.tokenizing import encoder_for
 from lamina.llm.warc import _filesystem
 
 MAGIC = b"LTOK0001"
@@ -62,7 +62,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_column:
     """(doc_id, n_tokens, ids): the ids of each text and the end id, as little-endian unsigned 16 or 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         kind = _kind(max(encoder.size, end_id + 1))
         for batch in batches:
             found = [np.append(x, np.uint32(end_id)).astype(kind) for x in encoder.encode_all(batch.column(1).to_pylist())]
@@ -83,8 +83,8 @@ def id_counts(tokens: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer() or b"", kind), minlength=size)
+            joined = b"".join(batch.column(0).to_pylist())
+            total += np.bincount(np.frombuffer(joined, kind), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 

@@ -13,6 +13,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,15 +21,45 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks remembered by one worker.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Characters taken at a time.
-SLICE = 1_000_000
+SLICE = 500_000
 
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 #: Signs that end a word of letters and begin a pre-token of their own.
 _SIGNS = ".,;:!?|%#*$&"
 
 
+class IdTable:
+    """Strings and their ids, all ids in one growing array."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.starts = np.zeros(0, np.int64)
+        self.lens = np.zeros(0, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        if not keys:
+            return
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens])
+        self.used += len(ids)
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries ``at`` in a row, and how many each has."""
+        lens = self.lens[at]
+        ends = np.cumsum(lens)
+        where = np.repeat(self.starts[at] - ends + lens, lens)
+        where += np.arange(len(where))
+        return self.flat[where], lens
+
+
 class ChunkEncoder:
     """Encodes texts to arrays of ids."""
 
@@ -48,25 +79,8 @@ class ChunkEncoder:
         for token, k in vocab.items():
             self.border[k] = token.endswith(suffix) if suffix else token.startswith("Ġ")
         self.line_break = self._encode("\n")[0] if self.leading else -1
-        self.stems: dict[str, np.ndarray] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(0, np.int64)
-        self.lens = np.zeros(0, np.int64)
-
-    def _remember(self, found: dict[str, np.ndarray]) -> None:
-        ids, lens = np.concatenate(list(found.values())), np.fromiter(map(len, found.values()), np.int64, len(found))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.used += len(ids)
-        self.known.update(zip(found, range(len(self.known), len(self.known) + len(found)), strict=True))
+        self.parts, self.known = IdTable(), IdTable()  # words and the signs after them; chunks
+        self.parts.add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -83,37 +97,36 @@ class ChunkEncoder:
                 cuts = np.flatnonzero(self.border[ids])
                 begin, end = (cuts, np.append(cuts[1:], len(ids))) if self.leading else (np.insert(cuts[:-1] + 1, 0, 0), cuts + 1)
             if len(begin) == len(part) and begin[0] == 0 and end[-1] == len(ids):
-                for stem, a, b in zip(part, begin.tolist(), end.tolist(), strict=True):
-                    self.stems[stem] = ids[a:b]
+                keep = np.ones(len(ids), bool)
+                if by_line:
+                    keep[breaks] = False
+                self.parts.add(part, ids[keep], end - begin)
             else:
-                for stem in part:
-                    self.stems[stem] = self._encode(stem)
+                self._add_each(self.parts, part)
+
+    def _add_each(self, table: IdTable, keys: list[str]) -> None:
+        if keys:
+            ids = [self._encode(k) for k in keys]
+            table.add(keys, np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.stems) > REMEMBERED:
-            self.stems = {}
-        split, found = {}, {}
-        for c in chunks:
-            stem = c.rstrip(_SIGNS)
-            if stem[stem[:1] == " " :].isalpha():
-                split[c] = stem
-            else:
-                found[c] = self._encode(c)
-        new = set(split.values()) - self.stems.keys()
+        if len(self.parts.at) > REMEMBERED:
+            self.parts = IdTable()
+            self.parts.add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        stems = {c: c.rstrip(_SIGNS) for c in chunks}
+        split = {c: s for c, s in stems.items() if s[s[:1] == " " :].isalpha()}
+        self._add_each(self.known, [c for c in stems if c not in split])
+        new = set(split.values()).difference(self.parts.at)
         at_start = {a for a in new if self.leading and a[0] != " "}
-        self._encode_stems(sorted(new - at_start))
-        self._encode_stems(sorted(at_start), by_line=True)
-        stems = self.stems
-        for c, stem in split.items():
-            if len(stem) == len(c):
-                found[c] = stems[stem]
-            else:
-                tail = c[len(stem) :]
-                if tail not in stems:
-                    stems[tail] = self._encode(tail)
-                found[c] = np.concatenate([stems[stem], stems[tail]])
-        if found:
-            self._remember(found)
+        self._encode_stems(list(new - at_start))
+        self._encode_stems(list(at_start), by_line=True)
+        tails = [c[len(s) :] for c, s in split.items()]
+        self._add_each(self.parts, list(set(tails).difference(self.parts.at)))
+        at = np.empty((len(split), 2), np.int64)
+        at[:, 0] = np.fromiter(map(self.parts.at.__getitem__, split.values()), np.int64, len(split))
+        at[:, 1] = np.fromiter(map(self.parts.at.__getitem__, tails), np.int64, len(split))
+        ids, lens = self.parts.gather(at.reshape(-1))
+        self.known.add(list(split), ids, lens.reshape(-1, 2).sum(axis=1))
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -135,19 +148,18 @@ class ChunkEncoder:
 
     def _gather(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all lists in a row, and how many each list has."""
-        new = set(chain.from_iterable(lists)) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self._clear()
-            new = set(chain.from_iterable(lists))
+        distinct = set(chain.from_iterable(lists))
+        new = distinct.difference(self.known.at)
+        if len(self.known.at) + len(new) > REMEMBERED:
+            self.known = IdTable()
+            new = distinct
         self._learn(new)
+        here = dict(zip(distinct, map(self.known.at.__getitem__, distinct), strict=True))  # small, so it stays in the processor's cache
         sizes = np.array([len(x) for x in lists])
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
-        lens = self.lens[at]
-        ends = np.cumsum(lens)
-        where = np.repeat(self.starts[at] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
-        edges = np.concatenate([[0], ends])
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[where], np.diff(edges[bounds])
+        at = np.fromiter(map(here.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+        ids, lens = self.known.gather(at)
+        edges = np.concatenate([[0], np.cumsum(lens)])
+        return ids, np.diff(edges[np.concatenate([[0], np.cumsum(sizes)])])
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; null counts as empty."""
@@ -195,6 +207,12 @@ class ChunkEncoder:
         return np.concatenate(found)
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> ChunkEncoder:
+    """One encoder for all tasks that this worker runs, so that chunks stay remembered."""
+    return ChunkEncoder(path)
+
+
 def public_path(name: str) -> str:
     """The place of a public tokenizer file on this machine."""
     import public_tokenizers
