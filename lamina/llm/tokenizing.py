@@ -67,7 +67,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: The library looks for these before anything else, so texts that hold one are encoded as a whole.
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+        self.signs = {s[0] for s in special} | {s[0].swapcase() for s in special}
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
@@ -172,7 +175,8 @@ class ChunkEncoder:
 
         for text in texts:
             text = text or ""
-            if not self.leading and not unicodedata.is_normalized("NFC", text):  # it is normalized as a whole first
+            # a text is normalized as a whole first
+            if (not self.leading and not unicodedata.is_normalized("NFC", text)) or (any(s in text for s in self.signs) and self.special.search(text)):
                 if group:
                     yield from flush()
                     group, held = [], 0

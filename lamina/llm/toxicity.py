@@ -38,6 +38,7 @@ WIDEST = 28
 REMEMBERED = 400_000
 _EDGE = ".,;:!?|%#*$&\"'()[]{}<>«»„“”…-_~"
 _SENTENCES = re.compile(r"[.!?\n]+(?:\s|$)|\n+")
+_DOTTED = re.compile(r"(?:[^\W_][\W_]+){2,}[^\W_]")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 
 
@@ -78,8 +79,14 @@ def _mask(word: str) -> int:
 
 
 def unit(word: str) -> list[str]:
-    """A lower-case word without outer marks, between edge signs; a long one in overlapping windows."""
-    word = f"^{word.strip(_EDGE)}$"
+    """A lower-case word without outer marks, between edge signs; a long one in overlapping windows.
+
+    Signs after every single letter go; between other letters the kernel bears them.
+    """
+    word = word.strip(_EDGE)
+    if not word.isalnum() and _DOTTED.fullmatch(word):
+        word = "".join(filter(str.isalnum, word))
+    word = f"^{word}$"
     if len(word) <= WIDEST:
         return [word]
     return [word[k : k + WIDEST] for k in range(0, len(word) - WIDEST // 2, WIDEST // 2)]
