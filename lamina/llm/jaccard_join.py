@@ -48,7 +48,7 @@ from lamina.llm.common import staged
 FREQUENT = 2
 #: A settled set has its L other hashes among this many times L; rounds of dropping sets that cannot have a partner.
 SETTLED = 1.25
-DROPS = 3
+DROPS = 2
 #: Sets of a region that one task joins; larger regions are split by sizes, then around so many pivots.
 REGION_SETS = 5000
 SPLIT_PIVOTS = 12
@@ -161,6 +161,56 @@ def possible_members(shared: DataFrame, similarity: float) -> DataFrame:
     return members.withColumn("in", F.count("*").over(of)).where("in > 1").drop("in", "low", "high", "strong")
 
 
+def likely_members(members: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
+    """Members (region, rep, n) that share enough known hashes with another one of their region; see point 4.
+
+    ``firsts`` has (rep, first).  A set is compared only while it has no partner
+    yet, so copies around one pivot cost one comparison for all of them.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets, n = pdf["first"].tolist(), pdf["n"].to_numpy()
+        size = np.array([len(x) for x in sets])
+        need = size - np.array([prefix_length(k, similarity) for k in n.tolist()]) + 1
+        last = np.array([x[-1] for x in sets])
+        values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        lists = owner[np.argsort(at, kind="stable")]
+        begin = np.cumsum(count) - count
+        ends = np.cumsum(size)
+        good = np.zeros(len(sets), bool)
+        for x in range(len(sets)):
+            mine = at[ends[x] - size[x] : ends[x]]
+            mine = mine[count[mine] > 1]
+            if good[x] or not len(mine):
+                continue
+            long = count[mine]
+            where = np.arange(long.sum()) + np.repeat(begin[mine] - np.cumsum(long) + long, long)
+            both = np.bincount(lists[where], minlength=len(sets))
+            both[x] = 0
+            found = (both > 0) & (both >= np.where(last[x] <= last, need[x], need))
+            found &= np.minimum(n, n[x]) >= similarity * np.maximum(n, n[x]) - 1e-6
+            if found.any():
+                good[x] = True
+                good |= found
+        return pdf.loc[good, ["region", "rep", "n"]]
+
+    return members.join(firsts, "rep").groupBy("region").applyInPandas(run, "region string, rep long, n long")
+
+
+def without_covered(members: DataFrame) -> DataFrame:
+    """``members`` less the regions whose sets all lie in one other region together.
+
+    A set's home is the first of its regions.  A region whose sets share one
+    home, which is not the region itself, adds no pair to that home; the home
+    stays, as it is the home of its sets.
+    """
+    of = Window.partitionBy("region")
+    homed = members.withColumn("home", F.min("region").over(Window.partitionBy("rep")))
+    homed = homed.withColumn("least", F.min("home").over(of)).withColumn("most", F.max("home").over(of))
+    return homed.where((F.col("least") == F.col("region")) | (F.col("least") != F.col("most"))).drop("home", "least", "most")
+
+
 def with_hashes(docs: DataFrame, width: int) -> DataFrame:
     """(region, rep, n, hashes) of (region, rep, n, text)."""
 
@@ -316,7 +366,9 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width:
         found = docs.join(F.broadcast(part) if few else part, docs["doc_id"] == part["rep"])
         return with_hashes(found.select("region", "rep", "n", "text"), width)
 
-    links = region_links(fetched(members.join(large, "region", "left_anti") if some else members), percent)
+    small = members.join(large, "region", "left_anti") if some else members
+    small = staged(without_covered(likely_members(small, reps.select("rep", "first"), similarity)), "likely")
+    links = region_links(fetched(small), percent)
     if some:
         links = links.unionByName(region_links(split_large(fetched(members.join(large, "region", "left_semi")), percent), percent))
     named = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("joined"))
