@@ -174,25 +174,21 @@ def props_ne(spark, sf):
 
 
 ORACLES["props_ne"] = ORACLES["props_ne"].replace("layer = 'R'", "layer = 'N'")
-_SIZES = "@ra AS (SELECT id, x1 - x0 AS w, y1 - y0 AS h FROM rects WHERE layer = 'A'), rb AS (SELECT DISTINCT x1 - x0 AS w, y1 - y0 AS h FROM rects WHERE layer = 'R' AND pid = 'F' AND (x1 - x0) % 3 = 0)"
+_EXTENTS = "@ra AS (SELECT id, x0, x1 FROM rects WHERE layer = 'A'), rb AS (SELECT DISTINCT x0, x1 FROM rects WHERE layer = 'R')"
 
 
-def _at_origin(df: DataFrame) -> DataFrame:
-    return df.select("id", F.lit(0).alias("x0"), F.lit(0).alias("y0"), g.width().alias("x1"), g.height().alias("y1"))
+def _on_x_axis(df: DataFrame) -> DataFrame:
+    return df.select("id", "x0", F.lit(0).alias("y0"), "x1", F.lit(1).alias("y1"))
 
 
-def _shapes_of_r(spark, sf) -> DataFrame:
-    return _at_origin(layer(spark, sf, "R").where((F.col("pid") == "F") & (g.width() % 3 == 0)))
-
-
-@query(_SIZES + " SELECT id FROM ra SEMI JOIN rb USING (w, h)")
+@query(_EXTENTS + " SELECT id FROM ra SEMI JOIN rb USING (x0, x1)")
 def rg_in(spark, sf):
-    return spatial.members(_at_origin(layer(spark, sf, "A")), _shapes_of_r(spark, sf)).select("id")
+    return spatial.members(_on_x_axis(layer(spark, sf, "A")), _on_x_axis(layer(spark, sf, "R"))).select("id")
 
 
-@query(_SIZES + " SELECT id FROM ra ANTI JOIN rb USING (w, h)")
+@query(_EXTENTS + " SELECT id FROM ra ANTI JOIN rb USING (x0, x1)")
 def rg_not_in(spark, sf):
-    return spatial.members(_at_origin(layer(spark, sf, "A")), _shapes_of_r(spark, sf), invert=True).select("id")
+    return spatial.members(_on_x_axis(layer(spark, sf, "A")), _on_x_axis(layer(spark, sf, "R")), invert=True).select("id")
 
 
 # ---------------------------------------------------------------- booleans, density
@@ -351,13 +347,13 @@ def evaluate_nets(spark, sf):
 
 
 @query(
-    """RECURSIVE @ra AS (SELECT * FROM rects WHERE layer IN ('A', 'R') AND pid = 'F' AND x0 < 3000), e0 AS (SELECT a.id AS a, b.id AS b FROM ra a JOIN ra b ON a.layer = 'A' AND b.layer = 'R' AND """ + _MEET + """),
+    """RECURSIVE @ra AS (SELECT * FROM rects WHERE layer IN ('A', 'R')), e0 AS (SELECT a.id AS a, b.id AS b FROM ra a JOIN ra b ON a.layer = 'A' AND b.layer = 'R' AND """ + _MEET + """),
   e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), walk AS (SELECT id, id AS seen FROM ra UNION SELECT w.id, e.b FROM walk w JOIN e ON w.seen = e.a), net AS (SELECT id, min(seen) AS net FROM walk GROUP BY id),
   m AS (SELECT net, CAST(sum(CASE WHEN layer = 'A' THEN CAST(x1 - x0 AS BIGINT) * (y1 - y0) ELSE 0 END) AS BIGINT) AS gate_area, CAST(sum(CASE WHEN layer = 'R' THEN CAST(x1 - x0 AS BIGINT) * (y1 - y0) ELSE 0 END) AS BIGINT) AS metal_area FROM net JOIN ra USING (id) GROUP BY net)
   SELECT net, gate_area, metal_area FROM m WHERE gate_area > 0 AND metal_area > 2 * gate_area"""
 )
 def antenna(spark, sf):
-    shapes = rects(spark, sf).where("layer IN ('A', 'R') AND pid = 'F' AND x0 < 3000")
+    shapes = rects(spark, sf).where("layer IN ('A', 'R')")
     return connectivity.antenna(connectivity.connected_nets(shapes, [("A", "R")]), "A", "R", 2)
 
 
