@@ -121,14 +121,15 @@ class Scorer:
         self._forget()
 
     def learn(self, words: set[str]) -> None:
-        """Kernels of words not seen yet; those near no landmark are only remembered as seen."""
-        words = words - self.seen
-        if len(self.seen) + len(words) > REMEMBERED:
+        """Kernels of words not remembered; those near no landmark are only remembered as seen."""
+        new = words - self.seen
+        if len(self.seen) + len(new) > REMEMBERED:
             self._forget()
-        self.seen |= words
+            new = words  # also those that were known until now
+        self.seen |= new
         if not self.landmarks:
             return
-        source = [(w, u) for w in words for u in unit(w) if len(u) > LENGTH]
+        source = [(w, u) for w in new for u in unit(w) if len(u) > LENGTH]
         masks = np.array([_mask(u[1:-1] if len(u) < WIDEST else u) for _, u in source], np.uint64)
         left: list[str] = []
         right: list[int] = []

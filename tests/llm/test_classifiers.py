@@ -90,6 +90,19 @@ def test_gapped_insults_are_found():
     assert max(low) < 0.5 < min(high)
 
 
+def test_scores_do_not_depend_on_the_memory(monkeypatch):
+    clean = [f"we walked to the river number {k} and saw many birds." for k in range(60)]
+    bad = [f"go away you stupidhead number {k} and do not return." for k in range(60)]
+    s = toxicity.train(clean + bad, np.array([0] * 60 + [1] * 60))
+    texts = [bad[k] if k % 3 == 0 else clean[k] for k in range(60)]
+    s._forget()
+    want = s.scores(texts)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 20)
+    s._forget()
+    got = np.concatenate([s.scores([t]) for t in texts])
+    assert got == pytest.approx(want) and (want > 0.5).sum() == 20
+
+
 def test_toxicity_of_awkward_rows(spark, awkward):
     labels = spark.createDataFrame([(5, 1), (8, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     scorer = toxicity.fit(awkward, labels)
