@@ -14,16 +14,18 @@
 4. Of two sets alike, the one with the lower last known hash shares at least
    ``first_length`` - L + 1 of its known hashes.  A region without a set that
    shares as many is dropped, and others of sizes out of reach leave it.
-5. A large region is split: distances obey the triangle inequality, so sets go
-   to the nearest of several pivots and to each other pivot at most twice the
-   join distance farther; sizes obey it as well, with overlapping windows.
+5. In a large region every set is compared with a few pivots, in salted chunks.
+   Sets alike to a pivot are linked with it and need no other link among each
+   other.  What remains meets in blocks of sets that share a hash; those in the
+   fewest pivots come first, so blocks seldom hold what all sets share.  Blocks
+   still too large are cut by sizes, then into salts that meet two by two.
 6. One task joins a region: each set is compared with those that share one of
    its locally rarest hashes and are not linked with it already, so copies
    around one pivot cost one comparison each and no group emits all its pairs.
 7. Links join classes into components by repeated minimum labels.
 
-Nothing is capped or dropped: a region that cannot be split further, a dense
-ball of sets, is joined by one task in time near its size.
+Nothing is capped or dropped.  Only a large block of sets that no pivot is
+alike to grows with its square, spread over tasks of ``REGION_SETS`` sets.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone;
 texts shorter than a shingle give one of the whole sequence; repeated rows are
@@ -49,7 +51,7 @@ FREQUENT = 2
 #: A settled set has its L other hashes among this many times L; rounds of dropping sets that cannot have a partner.
 SETTLED = 1.25
 DROPS = 2
-#: Sets of a region that one task joins; larger regions are split by sizes, then around so many pivots.
+#: Sets of a region that one task joins; sets of larger regions are first compared with so many pivots.
 REGION_SETS = 5000
 SPLIT_PIVOTS = 12
 #: Members that are broadcast to fetch their texts; more are joined by a shuffle.
@@ -234,8 +236,11 @@ def overlaps(flat: np.ndarray, lens: np.ndarray, one: np.ndarray) -> np.ndarray:
     return hit[ends] - hit[ends - lens]
 
 
-def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all sets whose likeness reaches ``percent``: enough for their components, not one for every pair."""
+def join_sets(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets whose likeness reaches ``percent``: enough for their components, not one for every pair.
+
+    Sets of one value in ``known`` are connected already.
+    """
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -256,7 +261,7 @@ def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     lists: list[list[int]] = [[] for _ in sets]
     for k, h in zip(owner[first].tolist(), at[first].tolist(), strict=True):
         lists[k].append(list_of[h])
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
     links: list[tuple[int, int]] = []
 
     def mixed() -> np.ndarray:
@@ -282,49 +287,110 @@ def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _distances(sets: list[np.ndarray], pivot: np.ndarray) -> np.ndarray:
-    size = np.array([len(x) for x in sets])
-    both = overlaps(np.concatenate(sets), size, pivot)
-    return 1 - both / (size + len(pivot) - both)
+def stars(members: DataFrame, percent: int) -> DataFrame:
+    """(region, rep, n, label, linked, keys, indexed) of members (region, rep, n, hashes) of large regions.
 
+    ``linked`` are pivots of the region alike to the set; sets of one ``label``
+    are connected by such links, other sets have their own id.  ``keys`` are as
+    many of the set's hashes, those in the fewest pivots first, as must meet
+    those of every set alike; the smaller set of two alike meets the other with
+    one of its first ``indexed``.
+    """
+    counts = members.groupBy("region").agg(F.count("*").alias("in"))
+    sized = members.join(F.broadcast(counts), "region").withColumn("salts", F.ceil(2 * F.col("in") / REGION_SETS).cast("int"))
+    some = sized.where(F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("in") / (4 * SPLIT_PIVOTS))) == 0)
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("k") <= SPLIT_PIVOTS)
+    salt = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("salts")).cast("int")
+    rows = sized.select("region", salt.alias("salt"), "rep", "hashes", F.lit(False).alias("pivot"))
+    rows = rows.unionByName(some.select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "hashes", F.lit(True).alias("pivot")))
 
-def split_large(members: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """Members (region, rep, n, hashes) of large regions, split by sizes, then around pivots, exactly."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        around = pdf[pdf["pivot"]].drop_duplicates("rep").sort_values("rep", kind="stable")
+        pivots, names = [unpack(b) for b in around["hashes"]], around["rep"].to_numpy()
+        own = pdf[~pdf["pivot"]].drop_duplicates("rep")
+        sets, reps = [unpack(b) for b in own["hashes"]], own["rep"].to_numpy()
+        out = {c: [] for c in ("label", "linked", "keys", "indexed")}
+        size = np.array([len(x) for x in sets], np.int64)
+
+        def alike(pivot: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+            both = overlaps(flat, lens, pivot)
+            return 100 * both >= percent * (lens + len(pivot) - both)
+
+        label = names.copy()
+        for k, pivot in enumerate(pivots):
+            same = np.isin(label, label[alike(pivot, np.concatenate(pivots), np.array([len(x) for x in pivots]))])
+            label[same] = label[same].min()
+        held, often = np.unique(np.concatenate(pivots), return_counts=True) if pivots else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        hits = np.array([alike(pivot, flat, size) for pivot in pivots]).reshape(len(pivots), len(sets))
+        for x, (rep, one) in enumerate(zip(reps.tolist(), sets, strict=True)):
+            near = np.flatnonzero(hits[:, x])
+            out["label"].append(int(label[near[0]]) if len(near) else rep)
+            if rep not in names:  # one pivot of each label; a pivot keeps all, which connect its label
+                near = near[np.unique(label[near], return_index=True)[1]]
+            out["linked"].append([int(v) for v in names[near] if v != rep])
+            at = np.minimum(np.searchsorted(held, one), len(held) - 1)
+            order = np.lexsort((one, np.where(held[at] == one, often[at], 0)))
+            n = len(one)
+            out["keys"].append(one[order[: n + percent * n // -100 + 1]].astype(np.int64))
+            out["indexed"].append(n + 2 * percent * n // -(100 + percent) + 1)
+        return pd.DataFrame({"region": own["region"].to_numpy(), "rep": reps, "n": size, **out})
+
+    return rows.groupBy("region", "salt").applyInPandas(run, "region string, rep long, n long, label long, linked array<long>, keys array<long>, indexed int")
+
+
+def blocks(starred: DataFrame, percent: int) -> DataFrame:
+    """(region, of, rep, label): what remains to be compared, in blocks of sets that share a key; ``of`` is the large region.
+
+    Sets of one label need no comparison, so a block of one label is left out,
+    and of equal blocks all but one.  A block above ``REGION_SETS`` is cut into
+    windows of sizes, and these into salts of which each two meet in one task.
+    """
     s = percent / 100
+    rows = starred.select("region", "rep", "n", "label", "indexed", F.posexplode("keys").alias("pos", "key"))
+    rows = staged(rows.select("region", "key", "rep", "n", "label", "pos", (F.col("pos") < F.col("indexed")).alias("index")), "keys")
+    small = F.when(F.col("index"), F.col("n"))
+    kept = rows.groupBy("region", "key").agg(F.min(small).alias("low"), F.max(small).alias("high"), F.min("label").alias("a"), F.max("label").alias("b")).where("low IS NOT NULL AND a < b")
+    # the smaller the other set, the more first keys must meet it: none is smaller than "low"
+    reach = F.col("n") - F.ceil((percent * (F.col("n") + F.col("low"))) / (100 + percent) - 1e-9)
+    rows = rows.join(kept.drop("a", "b"), ["region", "key"]).where(F.col("index") | ((F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high") / s + 1) & (F.col("pos") <= reach)))
+    rows = staged(rows.select("region", "key", "rep", "n", "label"), "blocks")
+    digests = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit("other"), "rep")).alias("y")]
+    found = rows.groupBy("region", "key").agg(F.count("*").alias("in"), F.min("label").alias("a"), F.max("label").alias("b"), *digests).where("a < b")
+    found = staged(found.groupBy("region", "in", "x", "y").agg(F.min("key").alias("key")).select("region", "key", "in"), "found")
+    rows = rows.join(found, ["region", "key"]).withColumn("of", F.col("region")).withColumn("region", F.concat_ws("/", "region", "key"))
+    done = rows.where(F.col("in") <= REGION_SETS).select("region", "of", "rep", "label")
+    if found.where(F.col("in") > REGION_SETS).isEmpty():
+        return done
     step = F.floor(F.log(F.col("n")) / -np.log(s)).cast("int")
-    big, small = members.withColumn("w", F.explode(F.array(step, step + 1))), None
-    big = staged(big.select(F.concat_ws("#", "region", "w").alias("region"), "rep", "n", "hashes"), "windows")
-    for _ in range(rounds):
-        counts = big.groupBy("region").agg(F.count("*").alias("in"))
-        sized = big.join(counts, "region")
-        done = sized.where(F.col("in") <= REGION_SETS).drop("in")
-        small = done if small is None else small.unionByName(done)
-        big = sized.where(F.col("in") > REGION_SETS)
-        if big.isEmpty():
-            return small
-        pivots = big.groupBy("region").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("in") / (4 * SPLIT_PIVOTS))) == 0, F.struct(F.xxhash64("rep").alias("h"), "hashes")))), 1, SPLIT_PIVOTS).alias("pivots"))
-
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for region, part in pdf.groupby("region", sort=False):
-                    sets = [unpack(b) for b in part["hashes"]]
-                    d = np.stack([_distances(sets, unpack(p["hashes"])) for p in part["pivots"].iloc[0]])
-                    take = d <= d.min(axis=0) + 2 * (1 - s) + 1e-9
-                    for k in range(len(d)):
-                        yield part.loc[take[k], ["rep", "n", "hashes"]].assign(region=f"{region}@{k}")
-
-        fed = big.join(pivots, "region").select("region", "rep", "n", "hashes", "pivots")
-        big = staged(fed.mapInPandas(nearest, "rep long, n long, hashes binary, region string"), "cells").select("region", "rep", "n", "hashes")
-    return small.unionByName(big)
+    wide = rows.where(F.col("in") > REGION_SETS).withColumn("step", step).withColumn("w", F.explode(F.array(F.col("step"), F.col("step") + 1)))
+    wide = wide.select(F.concat_ws("#", "region", "w").alias("region"), "of", "rep", "label", (F.col("step") == F.col("w")).alias("own"))
+    wide = staged(wide, "windows")
+    counts = wide.groupBy("region").agg(F.ceil(2 * F.count("*") / REGION_SETS).cast("int").alias("salts"), F.min("label").alias("a"), F.max("label").alias("b"), F.max("own").alias("owned"))
+    counts = counts.where("a < b AND owned").drop("a", "b", "owned")  # without sets of its own step, a window's pairs meet in the one below
+    wide = wide.join(counts, "region").withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("salts")).cast("int"))
+    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("mine <> other OR salts < 2")
+    name = F.concat_ws("@", "region", F.least("mine", "other"), F.greatest("mine", "other"))
+    return done.unionByName(wide.select(name.alias("region"), "of", "rep", "label"))
+
+
+def large_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b: links inside large regions; ``members`` has (region, rep, n, hashes)."""
+    members = staged(members, "large")
+    starred = staged(stars(members, percent), "stars")
+    near = starred.select("rep", F.explode("linked").alias("pivot")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    left = staged(blocks(starred, percent), "left")
+    hashes = members.select(F.col("region").alias("of"), "rep", "hashes").dropDuplicates(["of", "rep"])
+    return near.distinct().unionByName(region_links(left.join(hashes, ["of", "rep"]).drop("of"), percent))
 
 
 def region_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b: links inside each region, joined by one task each."""
+    """(a, b) with a < b: links inside each region, joined by one task each; sets of one ``label``, if there, are connected already."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("rep").sort_values("rep", kind="stable")
         reps = pdf["rep"].to_numpy()
-        found = join_sets([unpack(b) for b in pdf["hashes"]], percent) if len(reps) > 1 else []
+        found = join_sets([unpack(b) for b in pdf["hashes"]], percent, pdf["label"].to_numpy() if "label" in pdf else None) if len(reps) > 1 else []
         pairs = np.array(found, np.int64).reshape(-1, 2)
         ends = np.sort(reps[pairs], axis=1) if len(pairs) else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
@@ -370,7 +436,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     small = staged(without_covered(likely_members(small, reps.select("rep", "first"), similarity)), "likely")
     links = region_links(fetched(small), percent)
     if some:
-        links = links.unionByName(region_links(split_large(fetched(members.join(large, "region", "left_semi")), percent), percent))
+        links = links.unionByName(large_links(fetched(members.join(large, "region", "left_semi")), percent))
     named = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("joined"))
     out = sets.join(named, "set_id", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

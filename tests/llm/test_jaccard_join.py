@@ -91,6 +91,30 @@ def test_large_regions_are_split(spark, monkeypatch):
     assert joined(df) == brute(texts, 3, 90)
 
 
+@pytest.mark.parametrize("edits", [1, 4, 9])
+def test_a_dense_ball_is_neither_multiplied_nor_joined_by_one_task(spark, monkeypatch, edits):
+    """Near copies far beyond REGION_SETS: all alike, some alike, or none, by the number of changed words."""
+    rnd = random.Random(edits)
+    texts = {}
+    for k in range(600):
+        body = [f"w{j}" for j in range(120)]
+        for at in rnd.sample(range(0, 120, 3), rnd.randrange(1, edits + 1)):
+            body[at] = f"x{k}_{at}"
+        texts[k] = " ".join(body)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    regions, inner = [], jaccard_join.region_links
+
+    def counted(members, percent):
+        regions.extend(r["count"] for r in members.groupBy("region").count().collect())
+        return inner(members, percent)
+
+    monkeypatch.setattr(jaccard_join, "region_links", counted)
+    monkeypatch.setattr(jaccard_join, "REGION_SETS", 60)
+    assert joined(df) == brute(texts, 3, 90)
+    assert max(regions, default=0) <= 90
+    assert sum(regions) <= 40 * len(texts), sum(regions)
+
+
 def test_awkward_rows(awkward):
     got = sorted(map(tuple, jaccard_join.join(awkward).collect()), key=repr)
     assert len(got) == awkward.count()
