@@ -13,14 +13,17 @@ they are.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Documents of each language that are sampled before others.
+LEAST_DOCS = 20
 #: Documents sampled for training, windows of each, bytes of a window, units of each direction, steps of training.
 SAMPLE_DOCS = 2000
 DOC_WINDOWS = 6
@@ -177,14 +180,24 @@ class ByteNetwork:
 
 
 def training_windows(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, list[str]]:
-    """Windows (n, WINDOW) and their labels from at most ``sample`` labelled documents, chosen by a hash of ``order``."""
+    """Windows (n, WINDOW) and their labels from at most ``sample`` labelled documents, chosen by a hash of ``order``.
+
+    Each label's first ``LEAST_DOCS`` come before others; more labels than fit take turns.
+    """
     chars = F.length(text)
     starts = F.array(*[F.floor(F.greatest(chars - WINDOW, F.lit(0)) * (k / max(DOC_WINDOWS - 1, 1))) for k in range(DOC_WINDOWS)])
     pieces = F.transform(starts, lambda s: F.substring(F.col(text), s.cast("int") + 1, F.lit(WINDOW)))
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    usable = usable.select(F.xxhash64(order).alias("h"), F.col(lang).alias("lang"), pieces.alias("pieces")).orderBy("h", "lang").limit(sample)
+    usable = usable.select(F.xxhash64(order).alias("h"), F.col(lang).alias("lang"), pieces.alias("pieces"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # cut to the first ones before rows are dealt
+    chosen = usable.withColumn("rank", rank).where(F.col("rank") <= LEAST_DOCS).orderBy("rank", "h", "lang").limit(sample).collect()
+    first: Counter = Counter()
+    for r in usable.orderBy("h", "lang").limit(sample).collect():
+        first[r["lang"]] += 1
+        if first[r["lang"]] > LEAST_DOCS and len(chosen) < sample:
+            chosen.append(r)
     x, y = [], []
-    for r in usable.collect():
+    for r in sorted(chosen, key=lambda r: (r["h"], r["lang"])):
         for piece in sorted(set(r["pieces"])):
             b = piece.encode("utf-8", "replace")[:WINDOW]
             x.append(np.frombuffer(b.ljust(WINDOW, b"\0"), np.uint8))

@@ -50,6 +50,15 @@ def test_language_of_awkward_rows(awkward, docs):
     assert awkward.where(F.lit(False)).select(langid.predicted(net, F.col("text"))).count() == 0
 
 
+def test_a_rare_language_is_learned(spark, docs):
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    last = usable.orderBy(F.xxhash64("doc_id").desc()).limit(1).withColumn("lang", F.lit("rare"))
+    x, y = langid.training_windows(usable.join(last.select("doc_id"), "doc_id", "left_anti").unionByName(last), sample=100)
+    assert "rare" in y and len(set(y)) == usable.select("lang").distinct().count() + 1
+    assert len(x) == len(y) <= 100 * langid.DOC_WINDOWS
+    assert len(set(langid.training_windows(usable.withColumn("lang", F.col("doc_id").cast("string")), sample=30)[1])) == 30
+
+
 def auc(score, y):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
