@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators.spatial import MODES, spatial_join
-
-
-def _ready(df: DataFrame) -> None:
-    """Checkpoints need a folder; one is set only where the cluster names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
+from lamina.sources.staging import discard, staged
 
 
 def touching(a: DataFrame, b: DataFrame | None = None, extra: Column | None = None) -> DataFrame:
@@ -25,24 +17,38 @@ def touching(a: DataFrame, b: DataFrame | None = None, extra: Column | None = No
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes`` (id) with ``net``, the smallest id that edges (a, b) reach.
+    """``nodes`` (id) with ``net``, the smallest id that edges (a, b) reach."""
+    roots = spanning_stars(edges).withColumnRenamed("node", "id").withColumnRenamed("root", "net")
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("net", "id").alias("net"))
+
+
+def spanning_stars(edges: DataFrame) -> DataFrame:
+    """(node, root): every node of ``edges`` (a, b) except the smallest of its component, which is its root.
 
-    Minimum labels spread along edges and jump over labels of labels, so the
-    number of rounds follows the logarithm of the longest chain.  Every round
-    is checkpointed: lost executors do not bring back earlier rounds.
+    Alternates two steps until nothing moves.  Large star: each node ties its
+    larger neighbours to its smallest one.  Small star: each node ties its
+    smaller neighbours and itself to the smallest.  Both keep components whole
+    and hook whole trees at once, so rounds follow the logarithm of the longest
+    chain whatever the order of its ids.  Each round is a table of its own:
+    lost executors do not bring back earlier rounds and size estimates start afresh.
     """
-    _ready(nodes)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("net")).checkpoint()
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
+    now = staged(pairs.distinct(), "edges")
+    was = None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("net").alias("near"))
-        new = labels.join(near, "id", "left").select("id", F.least("net", F.coalesce("near", "net")).alias("mid"), F.col("net").alias("was"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("net").alias("far"))
-        new = new.join(jump, "mid", "left").select("id", F.least("mid", F.coalesce("far", "mid")).alias("net"), "was").checkpoint()
-        moved = not new.where("net <> was").isEmpty()
-        labels = new.drop("was")
-        if not moved:
-            return labels
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
+        if mark == was:
+            return now
+        both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
+        least = both.groupBy("node").agg(F.least(F.min("root"), F.min("node")).alias("least"))
+        larger = now.select(F.col("root").alias("node"), F.col("node").alias("far")).join(least, "node")
+        large = staged(larger.select(F.col("far").alias("node"), F.col("least").alias("root")).distinct(), "edges")
+        least = large.groupBy("node").agg(F.min("root").alias("least"))
+        smaller = large.join(least, "node")
+        moved = smaller.where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))
+        next_ = staged(moved.unionByName(least.select("node", F.col("least").alias("root"))).distinct(), "edges")
+        discard(now, large)
+        now, was = next_, mark
 
 
 def layer_nets(shapes: DataFrame) -> DataFrame:

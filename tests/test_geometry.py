@@ -73,6 +73,24 @@ def test_components_of_a_chain(spark):
     assert all(nets[k] == 0 for k in range(31)) and all(nets[k] == k for k in range(31, 40))
 
 
+def test_components_of_a_shuffled_chain_take_few_rounds(spark, monkeypatch):
+    import random
+
+    ids = list(range(10_000))
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    tables, inner = [], connectivity.staged
+
+    def counted(*args):
+        tables.append(1)
+        return inner(*args)
+
+    monkeypatch.setattr(connectivity, "staged", counted)
+    roots = connectivity.spanning_stars(edges)
+    assert roots.where("root <> 0").count() == 0 and roots.count() == 9999
+    assert len(tables) <= 40  # two a round
+
+
 def test_weights_multiply_along_paths(spark):
     tops = spark.createDataFrame([("top",)], "cell string")
     inst = spark.createDataFrame([("top", "mid"), ("top", "mid"), ("mid", "leaf"), ("mid", "leaf"), ("mid", "leaf"), ("top", "leaf")], "parent string, child string")
