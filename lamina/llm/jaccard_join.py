@@ -1,40 +1,51 @@
-"""Exact Jaccard join of documents' word shingles, in metric regions around pivots.
-
-1. Texts with equal shingle sets form a class; one member stands for it.
-2. Pivots.  Of a set of n shingles the L = n - ceil(s n) + 1 lowest hashes hold
-   one of every set at least ``s`` alike.  Sets that share such a hash form a
-   region around a pivot, the smallest id that has it.
-3. A hash of many sets would make a region of unlike sets, so frequent hashes
-   are set aside.  A set with L other hashes among its first 1.25 L ("settled")
-   goes to the regions of those L alone.  Any other set goes to the regions of
-   all its other hashes, and to regions of its first L hashes that hold such
-   sets only.  As ``first_length`` hashes of it are known, it still meets every
-   settled set alike: a settled set has too few frequent hashes before its L-th
-   other one for all that both share to be frequent.
-4. Of two sets alike, the one with the lower last known hash shares at least
-   ``first_length`` - L + 1 of its known hashes.  A region without a set that
-   shares as many is dropped, and others of sizes out of reach leave it.
-5. In a large region every set is compared with a few pivots, in salted chunks.
-   Sets alike to a pivot are linked with it and need no other link among each
-   other.  What remains meets in blocks of sets that share a hash; those in the
-   fewest pivots come first, so blocks seldom hold what all sets share.  Blocks
-   still too large are cut by sizes, then into salts that meet two by two.
-6. One task joins a region: each set is compared with those that share one of
-   its locally rarest hashes and are not linked with it already, so copies
-   around one pivot cost one comparison each and no group emits all its pairs.
-7. Links join classes into components by repeated minimum labels.
+"""Exact Jaccard join of documents' word shingles in metric regions around pivots.
+
+Jaccard distance d = 1 - J is a metric; two sets link when d <= r = 1 - s.
+
+1. Texts with equal shingle sets form a class, named by a digest of the set.
+2. Which pivots can be near a set?  The range of hash values is cut into K
+   blocks; a set's signatures are digests of its hashes in each block.  Sets
+   within r differ in at most H hashes, K = H + t, so they agree in t blocks or
+   more.  A set with fewer shared signatures has no partner and needs no region,
+   and others leave the pivots of their first t - 1, in one order for all.
+   H depends on size, so sizes form classes: a set signs for its own class and,
+   if a partner can be of the next one, for that too.
+3. Pivots.  The first set of each group that shares a signature is a pivot; a
+   set knows the pivots of its signatures, and two sets within r know one
+   pivot in common.  Each set lies in the Voronoi cell of the pivot that it
+   shares most signatures with, and its exact distance to it is taken.  Sets
+   within r of a pivot are linked to it, so a ball of near copies is connected
+   with one comparison for each set.
+4. Windows.  A region (the sets that know a pivot) whose sets all lie in the
+   cell of one other pivot is left to that one.  A region still holding more
+   than one connected group takes the exact distance of all its sets, those of other
+   cells too, and is cut into rings of width r.  By the triangle inequality a
+   partner lies in the same or a neighbouring ring, so the sets of the next
+   ring are replicated and rings are joined on their own.
+5. A ring of over ``REGION_SETS`` sets recurses: pivots are drawn from it and
+   every set is compared with them, in salted chunks; sets alike to one are
+   linked with it.  What remains meets in blocks of sets that share a hash,
+   those in the fewest pivots first; blocks still too large are cut by sizes,
+   then into salts that meet two by two.
+6. One task joins a ring: each set is compared with those that share one of its
+   locally rarest hashes and are not connected with it already, so no group
+   emits all its pairs.
+7. Links join classes into components by large and small stars.
 
 Nothing is capped or dropped.  Only a large block of sets that no pivot is
 alike to grows with its square, spread over tasks of ``REGION_SETS`` sets.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone;
 texts shorter than a shingle give one of the whole sequence; repeated rows are
-one class; a null doc_id stays without a component; an empty table gives no
-rows.
+one class; rows that share an id but not their text are classes of their own;
+a null doc_id stays without a component and links nothing; very long texts give
+signatures in proportion; equal signature counts choose the smaller pivot;
+columns other than id and text are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,20 +56,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import staged
+from lamina.operators.connectivity import spanning_stars
+from lamina.sources.staging import discard
 
-#: A hash in more sets than this is frequent.
-FREQUENT = 2
-#: A settled set has its L other hashes among this many times L; rounds of dropping sets that cannot have a partner.
-SETTLED = 1.25
-DROPS = 2
 #: Sets of a region that one task joins; sets of larger regions are first compared with so many pivots.
 REGION_SETS = 5000
 SPLIT_PIVOTS = 12
-#: Members that are broadcast to fetch their texts; more are joined by a shuffle.
+#: Rounds of dropping sets that share too few signatures.
+DROPS = 2
+#: Documents that are broadcast by id to fetch their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Words remembered by one worker with their hashes.
-REMEMBERED = 500_000
+#: Words remembered by one worker with their hashes; sets remembered by one task to sign each once.
+REMEMBERED = 200_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SETS = "doc_id long, n_shingles long, node long, need array<int>, signatures array<long>"
 
 
 class _Words(dict):
@@ -75,7 +86,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, width: int, known: dict) -> np.ndarray:
-    """Sorted distinct 48-bit hashes of the shingles of a text."""
+    """Sorted distinct 64-bit hashes of the shingles of a text."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z and the six ASCII spaces
     h = np.array([known[w] for w in tokens], np.uint64)
     if not len(h):
@@ -84,147 +95,273 @@ def shingle_set(text: str | None, width: int, known: dict) -> np.ndarray:
     acc = np.full(n, len(h) if len(h) < width else width, np.uint64)
     for k in range(min(width, len(h))):
         acc = _mix(acc * _A + h[k : k + n] * _B)
-    return np.unique(acc >> np.uint64(16))
-
-
-def pack(h: np.ndarray) -> bytes:
-    """Six bytes for each hash in planes; as hashes are sorted, the first planes compress well."""
-    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes()
-
-
-def unpack(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, 2:] = planes.T
-    return out.view(">u8").reshape(-1).astype(np.uint64)
-
-
-def prefix_length(n: int, similarity: float) -> int:
-    """How many first shingles of a set of ``n`` must meet those of every set at least ``similarity`` alike."""
-    return n - int(np.ceil(similarity * n - 1e-9)) + 1
-
-
-def first_length(n: int, similarity: float) -> int:
-    """How many lowest hashes of a set are looked at; see point 3."""
-    most = prefix_length(n, similarity)
-    return min(n, most + int(np.ceil((SETTLED - 1) * (most / similarity + 1))) + 1)
-
-
-def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, n_shingles, set_id, first) of (doc_id, text): ``set_id`` is a digest of the set, ``first`` its lowest hashes."""
+    return np.unique(acc)
+
+
+def node_of(h: np.ndarray) -> int:
+    """The name of a set: a signed 64-bit digest."""
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
+class Signer:
+    """Block signatures of sets, see point 2; ``percent`` is the least likeness."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.lows = [1]
+        self.schemes: dict[int, tuple[int, int, np.ndarray]] = {}
+
+    def class_of(self, n: int) -> int:
+        """Sizes of a class span the square of the least likeness, so partners are in the same class or the next."""
+        while self.lows[-1] <= n:
+            self.lows.append(self.lows[-1] * 10_000 // self.percent**2 + 1)
+        return bisect_right(self.lows, n) - 1
+
+    def scheme(self, k: int) -> tuple[int, int, np.ndarray]:
+        """Blocks, the number that partners agree in at least, and lower bounds of the blocks, for pairs whose larger set is of class ``k``."""
+        if k not in self.schemes:
+            self.class_of(self.lows[-1] if len(self.lows) <= k + 1 else 1)
+            most = (100 - self.percent) * 2 * (self.lows[k + 1] - 1) // (100 + self.percent)
+            agree = 2 + most // 6
+            n = most + agree
+            bounds = np.array([-(-b * (1 << 64) // n) for b in range(1, n)], np.uint64)
+            self.schemes[k] = n, agree, bounds
+        return self.schemes[k]
+
+    def sign(self, h: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Least shared signatures with a partner (of even, of odd class) and the signatures; their low bit is the class's.
+
+        A block without hashes gives none unless a set has so many that all
+        blocks it agrees in could be empty.
+        """
+        n, c = len(h), self.class_of(len(h))
+        need, found = [0, 0], []
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_mix(h * _B), out=sums[1:])
+        for k in (c, c + 1):
+            if k > c and n * 100 // self.percent < self.lows[c + 1]:
+                break
+            blocks, agree, bounds = self.scheme(k)
+            at = np.concatenate([[0], np.searchsorted(h, bounds), [n]])
+            inside = sums[at[1:]] - sums[at[:-1]]
+            name = _mix(_mix(inside + np.uint64((k + 1) * int(_A) & 0xFFFFFFFFFFFFFFFF)) + np.arange(blocks, dtype=np.uint64) * _B)
+            filled = at[1:] > at[:-1]
+            empty = blocks - int(filled.sum())
+            if empty < agree:
+                name = name[filled]
+            need[k % 2] = max(1, agree - empty)
+            found.append(name & ~np.uint64(1) | np.uint64(k % 2))
+        return need, np.concatenate(found)
+
+
+def shingle_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, node, need, signatures) of (doc_id, text); a task signs a set that it has seen before only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, signer, seen = _Words(), Signer(percent), set()
+        none = [0, 0], np.zeros(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingle_set(t, width, known) for t in part.column(1).to_pylist()]
-                first = [h[: first_length(len(h), similarity)].astype(np.int64) for h in sets]
-                offsets = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
-                names = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
-                arrays = [part.column(0), pa.array([len(h) for h in sets], pa.int64()), names, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(first)))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_id", "first"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, first array<long>")
-
-
-def region_members(reps: DataFrame, similarity: float) -> DataFrame:
-    """(region, rep, n) for all regions that can hold a link; ``reps`` has (rep, n, first)."""
-    n, s = F.col("n"), F.lit(similarity)
-    most = (n - F.ceil(n * s - 1e-9) + 1).cast("int")
-    rows = reps.select("rep", "n", most.alias("most"), F.size("first").alias("known"), F.posexplode("first").alias("pos", "key"))
-    keys = rows.groupBy("key").agg(F.count("*").alias("sets"), F.min("rep").alias("pivot")).where("sets > 1")
-    shared = rows.join(keys, "key").withColumn("frequent", (F.col("sets") > FREQUENT).cast("int"))
-    own = Window.partitionBy("rep")
-    settled_in = F.least(F.floor(F.col("most") * SETTLED), F.col("n"))
-    shared = shared.withColumn("before", F.sum("frequent").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("frequent")).withColumn(
-        "settled", settled_in - F.sum(F.when(F.col("pos") < settled_in, F.col("frequent")).otherwise(0)).over(own) >= F.col("most")
-    )
-    in_settled = (F.col("frequent") == 0) & (~F.col("settled") | (F.col("pos") - F.col("before") < F.col("most")))
-    in_rest = ~F.col("settled") & (F.col("pos") < F.col("most"))
-    kinds = F.array_compact(F.array(F.when(in_settled, F.lit(0)), F.when(in_rest, F.lit(1))))
-    need = F.col("known") - F.col("most") + 1
-    shared = shared.select("key", "rep", "n", need.alias("need"), kinds.alias("kinds"), "pivot")
-    shared = staged(shared, "shared")
-    for _ in range(DROPS - 1):
-        left = shared.join(possible_members(shared, similarity).select("rep").distinct(), "rep", "left_semi").drop("pivot")
-        keys = left.groupBy("key").agg(F.count("*").alias("sets"), F.min("rep").alias("pivot")).where("sets > 1").drop("sets")
-        shared = staged(left.join(keys, "key"), "shared")
-    return possible_members(shared, similarity).select(F.concat_ws("/", "pivot", "kind").alias("region"), "rep", "n")
-
-
-def possible_members(shared: DataFrame, similarity: float) -> DataFrame:
-    """(pivot, kind, rep, n) that may have a partner in their region, from rows of shared hashes; see point 4."""
-    of = Window.partitionBy("pivot", "kind")
-    members = shared.withColumn("strong", F.count("*").over(Window.partitionBy("rep")) >= F.col("need"))
-    members = members.select(F.explode("kinds").alias("kind"), "pivot", "rep", "n", "strong").distinct()
-    members = members.withColumn("low", F.min(F.when(F.col("strong"), F.col("n"))).over(of)).withColumn("high", F.max(F.when(F.col("strong"), F.col("n"))).over(of))
-    members = members.where((F.col("n") >= F.col("low") * similarity - 1) & (F.col("n") <= F.col("high") / similarity + 1))
-    return members.withColumn("in", F.count("*").over(of)).where("in > 1").drop("in", "low", "high", "strong")
-
-
-def likely_members(members: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
-    """Members (region, rep, n) that share enough known hashes with another one of their region; see point 4.
-
-    ``firsts`` has (rep, first).  A set is compared only while it has no partner
-    yet, so copies around one pivot cost one comparison for all of them.
+                sizes, nodes, needs, names = [], [], [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    h = shingle_set(text, width, known)
+                    node = node_of(h)
+                    need, name = none if doc is None or not len(h) or node in seen else signer.sign(h)
+                    if len(name):
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(node)
+                    sizes.append(len(h))
+                    nodes.append(node)
+                    needs += need
+                    names.append(name.astype(np.int64))
+                offsets = pa.array(np.cumsum([0, *map(len, names)]).astype(np.int32))
+                pair = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * 2), pa.array(needs, pa.int32()))
+                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pair, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(names)))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "need", "signatures"])
+
+    return docs.mapInArrow(run, _SETS)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, pivot, odd, signature) of signatures that two nodes or more share, from rows in order.
+
+    The first and last signature of a partition may go on in another one: their
+    rows are kept in any case and carry the signature; other rows carry null.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets, n = pdf["first"].tolist(), pdf["n"].to_numpy()
-        size = np.array([len(x) for x in sets])
-        need = size - np.array([prefix_length(k, similarity) for k in n.tolist()]) + 1
-        last = np.array([x[-1] for x in sets])
-        values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        lists = owner[np.argsort(at, kind="stable")]
-        begin = np.cumsum(count) - count
-        ends = np.cumsum(size)
-        good = np.zeros(len(sets), bool)
-        for x in range(len(sets)):
-            mine = at[ends[x] - size[x] : ends[x]]
-            mine = mine[count[mine] > 1]
-            if good[x] or not len(mine):
-                continue
-            long = count[mine]
-            where = np.arange(long.sum()) + np.repeat(begin[mine] - np.cumsum(long) + long, long)
-            both = np.bincount(lists[where], minlength=len(sets))
-            both[x] = 0
-            found = (both > 0) & (both >= np.where(last[x] <= last, need[x], need))
-            found &= np.minimum(n, n[x]) >= similarity * np.maximum(n, n[x]) - 1e-6
-            if found.any():
-                good[x] = True
-                good |= found
-        return pdf.loc[good, ["region", "rep", "n"]]
-
-    return members.join(firsts, "rep").groupBy("region").applyInPandas(run, "region string, rep long, n long")
-
-
-def without_covered(members: DataFrame) -> DataFrame:
-    """``members`` less the regions whose sets all lie in one other region together.
-
-    A set's home is the first of its regions.  A region whose sets share one
-    home, which is not the region itself, adds no pair to that home; the home
-    stays, as it is the home of its sets.
+    def rows(sig: np.ndarray, node: np.ndarray, border: bool) -> Iterator[pa.RecordBatch]:
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+        sig, node = sig[fresh], node[fresh]
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        lens = np.diff(np.append(starts, len(sig)))
+        edge = np.zeros(len(starts), bool)
+        edge[0] = border
+        each = np.repeat((lens > 1) | edge, lens)
+        if each.any():
+            sig, pivots, edge = sig[each], np.repeat(node[starts], lens)[each], np.repeat(edge, lens)[each]
+            columns = [pa.array(node[each]), pa.array(pivots), pa.array((sig & 1).astype(bool)), pa.array(sig, mask=~edge)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "pivot", "odd", "signature"])
+
+    open_sig, chunks, first = None, [], True
+    for batch in batches:
+        sig, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        if not len(sig):
+            continue
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        if open_sig is not None:
+            if sig[0] == open_sig:
+                end = starts[1] if len(starts) > 1 else len(sig)
+                chunks.append(node[:end])
+                if len(starts) == 1:
+                    continue
+                sig, node, starts = sig[end:], node[end:], starts[1:] - end
+            nodes = np.concatenate(chunks)
+            yield from rows(np.full(len(nodes), open_sig), nodes, first)
+            first = False
+        cut = starts[-1]
+        if cut:
+            yield from rows(sig[:cut], node[:cut], first)
+            first = False
+        open_sig, chunks = sig[cut], [node[cut:]]
+    if open_sig is not None:
+        nodes = np.concatenate(chunks)
+        yield from rows(np.full(len(nodes), open_sig), nodes, True)
+
+
+def known_pivots(sets: DataFrame) -> DataFrame:
+    """(node, pivot, odd, shared): how many signatures a set shares with groups of which ``pivot`` is the first set.
+
+    Rows are dealt by ranges of (signature, node), so that a signature of very
+    many sets is spread over tasks; what ranges know of their border signatures
+    is two rows for each.
+    """
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.select(F.explode("signatures").alias("signature"), "node").repartitionByRange(n, "signature", "node").sortWithinPartitions("signature", "node")
+    found = rows.mapInArrow(_runs, "node long, pivot long, odd boolean, signature long")
+    found = staged(found.groupBy("node", "pivot", "odd", "signature").agg(F.count("*").alias("shared")), "pivots")
+    border = found.where("signature IS NOT NULL").groupBy("signature").agg(F.min("pivot").alias("first"), F.count_distinct("node").alias("sets"))
+    found = found.join(F.broadcast(border), "signature", "left").where("signature IS NULL OR sets > 1")
+    return found.groupBy("node", F.coalesce("first", "pivot").alias("pivot"), "odd").agg(F.sum("shared").alias("shared"))
+
+
+def likely(pivots: DataFrame, needs: DataFrame) -> DataFrame:
+    """(node, pivot, shared) of sets that share enough signatures to have a partner, in regions of two or more; ``needs`` has (node, need).
+
+    Partners agree in ``need`` signatures at least.  So each set leaves the
+    regions of its first pivots, small regions first, as long as it shares fewer
+    signatures with all of them: in one order for all sets, the last pivot that
+    two partners have in common is left by neither.
+    """
+    need = F.when(F.col("odd"), F.col("need")[1]).otherwise(F.col("need")[0])
+    pivots = staged(pivots.join(needs, "node").select("node", "pivot", "odd", "shared", need.alias("need")), "known")
+    for k in range(DROPS + 1):
+        if k < DROPS:
+            kept = pivots.join(pivots.groupBy("node", "odd", "need").agg(F.sum("shared").alias("all")).where("all >= need").select("node", "odd"), ["node", "odd"], "left_semi")
+        else:
+            sizes = pivots.groupBy("pivot", "odd").agg(F.count("*").alias("in"))
+            upto = Window.partitionBy("node", "odd").orderBy("in", "pivot").rowsBetween(Window.unboundedPreceding, 0)
+            kept = pivots.join(sizes, ["pivot", "odd"]).withColumn("upto", F.sum("shared").over(upto)).where("upto >= need").drop("in", "upto")
+        filled = kept.groupBy("pivot").agg(F.max(F.expr("node <> pivot")).alias("other")).where("other").select("pivot")
+        was, pivots = pivots, staged(kept.join(filled, "pivot", "left_semi"), "known")
+        discard(was)
+    return pivots.groupBy("node", "pivot").agg(F.sum("shared").alias("shared"))
+
+
+def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, node, ...) with the texts of the rows that have the id; where ids repeat, of all of them."""
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
+
+
+def distances(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(node, pivot, same, total) of pairs (node, pivot): sizes of the intersection and the union of their sets.
+
+    The sets of a pivot with many are dealt over salts, each with the pivot's text.
     """
-    of = Window.partitionBy("region")
-    homed = members.withColumn("home", F.min("region").over(Window.partitionBy("rep")))
-    homed = homed.withColumn("least", F.min("home").over(of)).withColumn("most", F.max("home").over(of))
-    return homed.where((F.col("least") == F.col("region")) | (F.col("least") != F.col("most"))).drop("home", "least", "most")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        last, around = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                out = []
+                for node, pivot, text, other in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
+                    if other != last:
+                        last, around = other, shingle_set(other, width, known)
+                        name = node_of(around)
+                    h = shingle_set(text, width, known)
+                    if name == pivot and node_of(h) == node:  # rows that share an id may have other texts
+                        same = int(overlaps(h, np.array([len(h)]), around)[0])
+                        out.append((node, pivot, same, len(h) + len(around) - same))
+                columns = zip(*out, strict=True) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "pivot", "same", "total"])
+
+    pairs = staged(pairs.select("node", "pivot"), "pairs")
+    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
+    ids = classes.select("node", F.col("rep").alias("doc_id"))
+    near = pairs.join(salts, "pivot").join(ids, "node").select("doc_id", "node", "pivot", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
+    far = salts.join(ids.withColumnRenamed("node", "pivot"), "pivot").select("doc_id", "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    near = with_texts(docs, near).select("node", "pivot", "salt", "text")
+    far = with_texts(docs, far).select("pivot", "salt", F.col("text").alias("other"))
+    both = near.hint("merge").join(far, ["pivot", "salt"]).select("node", "pivot", "text", "other")
+    found = staged(both.mapInArrow(run, "node long, pivot long, same long, total long").distinct(), "distances")
+    discard(pairs)
+    return found
+
+
+def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` with ``label``, the root of their component."""
+    return nodes.join(roots, "node", "left").select(*nodes.columns, F.coalesce("root", "node").alias("label"))
+
+
+def mixed(regions: DataFrame, *keys: str) -> DataFrame:
+    """Rows of regions, named by ``keys``, that hold more than one label."""
+    several = regions.groupBy(*keys).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select(*keys)
+    return regions.join(several, list(keys), "left_semi")
+
+
+def own_pairs(pivots: DataFrame, cells: DataFrame) -> DataFrame:
+    """(node, pivot) without the regions whose sets all lie in the cell of one other pivot: they meet in that one's region."""
+    homed = pivots.select("node", "pivot").join(cells.withColumnRenamed("pivot", "home"), "node", "left").withColumn("home", F.coalesce("home", "node"))
+    kept = homed.groupBy("pivot").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b OR a = pivot").select("pivot")
+    return pivots.select("node", "pivot").join(kept, "pivot", "left_semi")
+
+
+def rings(known: DataFrame, percent: int) -> DataFrame:
+    """(region, node, label) of (pivot, node, label, same, total): rings around each pivot, one join distance wide, with the next ring's sets.
+
+    Two sets within the join distance differ by no more in their distances to
+    the pivot, so they are in one ring or in neighbouring ones.
+    """
+    ring = F.expr(f"((total - same) * 100) DIV (total * {max(100 - percent, 1)})").cast("int")
+    rows = known.withColumn("ring", ring).withColumn("at", F.explode(F.when(F.col("ring") > 0, F.array("ring", F.col("ring") - 1)).otherwise(F.array("ring"))))
+    return mixed(rows.select(F.concat_ws("/", "pivot", "at").alias("region"), "node", "label"), "region")
 
 
 def with_hashes(docs: DataFrame, width: int) -> DataFrame:
-    """(region, rep, n, hashes) of (region, rep, n, text)."""
+    """(region, rep, label, n, hashes) of (region, node, label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                hashes = pa.array([pack(shingle_set(t, width, known)) for t in part.column(3).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), hashes], ["region", "rep", "n", "hashes"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [shingle_set(t, width, known) for t in part.column(3).to_pylist()]
+                own = pa.array([node_of(h) == node for h, node in zip(sets, part.column(1).to_pylist(), strict=True)], pa.bool_())
+                arrays = [*part.columns[:3], pa.array([len(h) for h in sets], pa.int64()), pa.array([pack(h) for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["region", "rep", "label", "n", "hashes"]).filter(own)
+
+    return docs.mapInArrow(run, "region string, rep long, label long, n long, hashes binary")
 
-    return docs.mapInArrow(run, "region string, rep long, n long, hashes binary")
+
+def pack(h: np.ndarray) -> bytes:
+    return h.astype("<u8").tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u8")
 
 
 def overlaps(flat: np.ndarray, lens: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -288,10 +425,10 @@ def join_sets(sets: list[np.ndarray], percent: int, known: np.ndarray | None = N
 
 
 def stars(members: DataFrame, percent: int) -> DataFrame:
-    """(region, rep, n, label, linked, keys, indexed) of members (region, rep, n, hashes) of large regions.
+    """(region, rep, n, label, linked, keys, indexed) of members (region, rep, label, n, hashes) of large regions.
 
-    ``linked`` are pivots of the region alike to the set; sets of one ``label``
-    are connected by such links, other sets have their own id.  ``keys`` are as
+    ``linked`` are pivots of the region alike to the set and not connected with
+    it before; sets of one ``label`` are connected, by such links or before.  ``keys`` are as
     many of the set's hashes, those in the fewest pivots first, as must meet
     those of every set alike; the smaller set of two alike meets the other with
     one of its first ``indexed``.
@@ -301,8 +438,8 @@ def stars(members: DataFrame, percent: int) -> DataFrame:
     some = sized.where(F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("in") / (4 * SPLIT_PIVOTS))) == 0)
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("k") <= SPLIT_PIVOTS)
     salt = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("salts")).cast("int")
-    rows = sized.select("region", salt.alias("salt"), "rep", "hashes", F.lit(False).alias("pivot"))
-    rows = rows.unionByName(some.select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "hashes", F.lit(True).alias("pivot")))
+    rows = sized.select("region", salt.alias("salt"), "rep", "label", "hashes", F.lit(False).alias("pivot"))
+    rows = rows.unionByName(some.select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "label", "hashes", F.lit(True).alias("pivot")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         around = pdf[pdf["pivot"]].drop_duplicates("rep").sort_values("rep", kind="stable")
@@ -316,16 +453,19 @@ def stars(members: DataFrame, percent: int) -> DataFrame:
             both = overlaps(flat, lens, pivot)
             return 100 * both >= percent * (lens + len(pivot) - both)
 
-        label = names.copy()
-        for k, pivot in enumerate(pivots):
+        before = around["label"].to_numpy()
+        label = before.copy()
+        for pivot in pivots:
             same = np.isin(label, label[alike(pivot, np.concatenate(pivots), np.array([len(x) for x in pivots]))])
             label[same] = label[same].min()
         held, often = np.unique(np.concatenate(pivots), return_counts=True) if pivots else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         hits = np.array([alike(pivot, flat, size) for pivot in pivots]).reshape(len(pivots), len(sets))
-        for x, (rep, one) in enumerate(zip(reps.tolist(), sets, strict=True)):
+        group = dict(zip(before.tolist(), label.tolist(), strict=True))
+        for x, (rep, one, known) in enumerate(zip(reps.tolist(), sets, own["label"].tolist(), strict=True)):
             near = np.flatnonzero(hits[:, x])
-            out["label"].append(int(label[near[0]]) if len(near) else rep)
+            out["label"].append(group.get(known, int(label[near[0]]) if len(near) else known))
+            near = near[before[near] != known]
             if rep not in names:  # one pivot of each label; a pivot keeps all, which connect its label
                 near = near[np.unique(label[near], return_index=True)[1]]
             out["linked"].append([int(v) for v in names[near] if v != rep])
@@ -375,7 +515,7 @@ def blocks(starred: DataFrame, percent: int) -> DataFrame:
 
 
 def large_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b: links inside large regions; ``members`` has (region, rep, n, hashes)."""
+    """(a, b) with a < b: links inside large regions; ``members`` has (region, rep, label, n, hashes)."""
     members = staged(members, "large")
     starred = staged(stars(members, percent), "stars")
     near = starred.select("rep", F.explode("linked").alias("pivot")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
@@ -398,46 +538,61 @@ def region_links(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("region").applyInPandas(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest id that links reach, by minimum labels and pointer jumping; each round is checkpointed."""
-    both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")).checkpoint()
-    while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(around, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("mid"), F.col("component").alias("was"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        new = new.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("component"), "was").checkpoint()
-        moved = not new.where("component <> was").isEmpty()
-        labels = new.drop("was")
-        if not moved:
-            return labels
-
-
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose shingle sets are at least ``percent`` / 100 alike are linked."""
-    similarity = percent / 100
+    return join_sets_of(docs, id_column, text, width, percent).drop("node")
+
+
+def join_sets_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """``join`` with ``node``, the name of each document's set."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = staged(shingle_sets(docs, width, similarity), "sets")
+    sets = staged(shingle_sets(docs, width, percent), "sets")
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = staged(full.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_id").alias("rep_set")), "doc_id").where("set_id = rep_set")
-    reps = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "first")
-    members = staged(region_members(reps, similarity), "members")
+    need = F.array(*[F.max(F.col("need")[k]) for k in range(2)]).alias("need")
+    classes = staged(full.groupBy("node").agg(F.min("doc_id").alias("rep"), need), "classes")
+    pivots = staged(likely(known_pivots(sets), classes.select("node", "need")), "cells")
+    lean = staged(sets.select("doc_id", "n_shingles", "node"), "lean")
+    discard(sets)
+
+    # cells: each set and the pivot that it shares most signatures with
+    best = F.max(F.struct("shared", F.bitwise_not("pivot").alias("order"), "pivot"))
+    cells = pivots.where("node <> pivot").groupBy("node").agg(best.alias("best")).select("node", "best.pivot")
+    alike = f"100 * same >= {percent} * total"
+    near = distances(docs, cells, classes, width)
+    links = near.where(alike).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    roots = spanning_stars(links)
+
+    # windows: regions that are not connected yet
+    open_ = staged(mixed(labelled(own_pairs(pivots, cells), roots), "pivot"), "open")
+    if not open_.isEmpty():
+        others = open_.where("node <> pivot").join(near, ["node", "pivot"], "left_anti")
+        near = near.unionByName(distances(docs, others, classes, width))
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(near.where(alike).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        roots = spanning_stars(links)
+        own = open_.where("node = pivot").select("node", "pivot", F.lit(1).cast("long").alias("same"), F.lit(1).cast("long").alias("total"))
+        around = open_.select("node", "pivot").join(near.unionByName(own), ["node", "pivot"])
+        members = staged(rings(labelled(around, roots), percent), "rings")
+        if not members.isEmpty():
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(ring_links(docs, members, classes, width, percent))
+            roots = spanning_stars(links)
+    named = labelled(classes.select("node", "rep"), roots)
+    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(smallest, "label").select("node", "component_id")
+    out = lean.join(named, "node", "left")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+
+
+def ring_links(docs: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links inside rings (region, node, label)."""
+    ids = classes.select("node", F.col("rep").alias("doc_id"))
     counts = members.groupBy("region").agg(F.count("*").alias("in"))
     large = counts.where(F.col("in") > REGION_SETS).drop("in")
-    some = not large.isEmpty()
 
     def fetched(part: DataFrame) -> DataFrame:
-        few = part.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        found = docs.join(F.broadcast(part) if few else part, docs["doc_id"] == part["rep"])
-        return with_hashes(found.select("region", "rep", "n", "text"), width)
-
-    small = members.join(large, "region", "left_anti") if some else members
-    small = staged(without_covered(likely_members(small, reps.select("rep", "first"), similarity)), "likely")
-    links = region_links(fetched(small), percent)
-    if some:
-        links = links.unionByName(large_links(fetched(members.join(large, "region", "left_semi")), percent))
-    named = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("joined"))
-    out = sets.join(named, "set_id", "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("joined")).alias("component_id"))
+        return with_hashes(with_texts(docs, part.join(ids, "node")).select("region", "node", "label", "text"), width)
+
+    if large.isEmpty():
+        return region_links(fetched(members), percent)
+    links = region_links(fetched(members.join(large, "region", "left_anti")), percent)
+    return links.unionByName(large_links(fetched(members.join(large, "region", "left_semi")), percent))
