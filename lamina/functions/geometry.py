@@ -55,6 +55,19 @@ def inside(a: str, b: str) -> Column:
     return (ax0 >= bx0) & (ax1 <= bx1) & (ay0 >= by0) & (ay1 <= by1)
 
 
+def empty(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return (x1 < x0) | (y1 < y0)
+
+
+def is_point(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return (x0 == x1) & (y0 == y1)
+
+
+def enlarged(dx: int, dy: int) -> list[Column]:
+    x0, y0, x1, y1 = box()
+    return [(x0 - dx).alias("x0"), (y0 - dy).alias("y0"), (x1 + dx).alias("x1"), (y1 + dy).alias("y1")]
+
+
 def snapped(c: Column, grid: int) -> Column:
     """The nearest multiple of ``grid``, halves up, in whole numbers."""
     return (F.floor((2 * c + grid) / F.lit(2 * grid)) * grid).cast("int")

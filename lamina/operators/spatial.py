@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.operators import sweep
 
 #: Side of a grid bin, in database units; a few times a usual shape.
 BIN = 64
@@ -61,6 +62,15 @@ def split(a: DataFrame, b: DataFrame, mode: str) -> DataFrame:
     return partner_counts(a, b, mode).withColumn("hit", F.col("partners") > 0).drop("partners")
 
 
+def covered_area(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a`` with ``covered``, the area of each shape under ``b`` taken as one merged region; equal to its own area where it lies inside."""
+    pieces = sweep.runs(b, None, "or").select(*g.BOX)
+    wide = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
+    high = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
+    sums = spatial_join(a, pieces, g.overlaps("a", "b")).groupBy(F.col("a.id").alias("id")).agg(F.sum(wide.cast("long") * high).alias("covered"))
+    return a.join(sums, "id", "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long")))
+
+
 def pulled(a: DataFrame, b: DataFrame, mode: str) -> DataFrame:
     """Shapes of ``b`` that are partners of any shape of ``a``."""
     hits = spatial_join(a, b, MODES[mode]()).select(F.col("b.id").alias("id")).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.sources.staging import staged
 
 TILE = 256
 
@@ -23,26 +24,19 @@ OPERATIONS = {
 }
 
 
-def tiled(df: DataFrame, size: int) -> DataFrame:
-    """Each box clipped to every tile (tx, ty) that it covers with area."""
+def tiled(df: DataFrame, size: int, rim: int = 0) -> DataFrame:
+    """Each box clipped to every tile (tx, ty), grown by ``rim``, that it covers with area."""
     x0, y0, x1, y1 = g.box()
     df = df.where((x1 > x0) & (y1 > y0))
-    df = df.withColumn("tx", F.explode(F.sequence(F.floor(x0 / size).cast("int"), F.floor((x1 - 1) / size).cast("int"))))
-    df = df.withColumn("ty", F.explode(F.sequence(F.floor(y0 / size).cast("int"), F.floor((y1 - 1) / size).cast("int"))))
-    tx, ty = F.col("tx") * size, F.col("ty") * size
-    return df.withColumns({"x0": F.greatest(x0, tx), "y0": F.greatest(y0, ty), "x1": F.least(x1, tx + size), "y1": F.least(y1, ty + size)})
-
+    df = df.withColumn("tx", F.explode(F.sequence(F.floor((x0 - rim) / size).cast("int"), F.floor((x1 - 1 + rim) / size).cast("int"))))
+    df = df.withColumn("ty", F.explode(F.sequence(F.floor((y0 - rim) / size).cast("int"), F.floor((y1 - 1 + rim) / size).cast("int"))))
+    tx, ty = F.col("tx") * size - rim, F.col("ty") * size - rim
+    full = size + 2 * rim
+    return df.withColumns({"x0": F.greatest(x0, tx), "y0": F.greatest(y0, ty), "x1": F.least(x1, tx + full), "y1": F.least(y1, ty + full)})
 
-def runs(a: DataFrame, b: DataFrame | None, keep: Column | str, size: int = TILE, tags: tuple[str, ...] = ()) -> DataFrame:
-    """Disjoint boxes (tx, ty, x0, y0, x1, y1) where ``keep`` holds.
 
-    ``keep`` is an operation's name or a condition on the wrap counts ``a``
-    and ``b``; ``tags`` are columns that must agree, such as a property.
-    """
-    boxes = tiled(a.select(*g.BOX, *tags), size).withColumn("side", F.lit("a"))
-    if b is not None:
-        boxes = boxes.unionByName(tiled(b.select(*g.BOX, *tags), size).withColumn("side", F.lit("b")))
-    tile = ["tx", "ty", *tags]
+def swept(boxes: DataFrame, tile: list[str]) -> DataFrame:
+    """Wrap counts of boxes with ``side`` a or b: (*tile, y, top, x0, x1, a, b) for each slab y..top and run x0..x1 of a tile; the last run's x1 is null."""
     ys = boxes.select(*tile, F.explode(F.array("y0", "y1")).alias("y")).distinct()
     slabs = ys.withColumn("top", F.lead("y").over(Window.partitionBy(*tile).orderBy("y"))).where("top IS NOT NULL")
     crossing = boxes.alias("r").join(slabs.alias("s"), [F.col(f"r.{c}") == F.col(f"s.{c}") for c in tile] + [F.col("r.y0") <= F.col("s.y"), F.col("r.y1") >= F.col("s.top")])
@@ -52,9 +46,23 @@ def runs(a: DataFrame, b: DataFrame | None, keep: Column | str, size: int = TILE
     steps = events.groupBy(*slab, "x").agg(change("a").alias("da"), change("b").alias("db"))
     along = Window.partitionBy(*slab).orderBy("x")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    wraps = steps.select(*slab, F.col("x").alias("x0"), F.lead("x").over(along).alias("x1"), F.sum("da").over(upto).alias("a"), F.sum("db").over(upto).alias("b"))
+    return steps.select(*slab, F.col("x").alias("x0"), F.lead("x").over(along).alias("x1"), F.sum("da").over(upto).alias("a"), F.sum("db").over(upto).alias("b"))
+
+
+def runs(a: DataFrame, b: DataFrame | None, keep: Column | str, size: int = TILE, tags: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    """Disjoint boxes (tx, ty, x0, y0, x1, y1) where ``keep`` holds.
+
+    ``keep`` is an operation's name or a condition on the wrap counts ``a``
+    and ``b``; ``tags`` are columns that must agree, such as a property, and
+    ``more`` may name the counts to keep them.
+    """
+    boxes = tiled(a.select(*g.BOX, *tags), size).withColumn("side", F.lit("a"))
+    if b is not None:
+        boxes = boxes.unionByName(tiled(b.select(*g.BOX, *tags), size).withColumn("side", F.lit("b")))
+    tile = ["tx", "ty", *tags]
+    wraps = swept(boxes, tile)
     condition = OPERATIONS[keep](F.col("a"), F.col("b")) if isinstance(keep, str) else keep
-    return wraps.where(condition & F.col("x1").isNotNull()).select(*tile, "x0", F.col("y").alias("y0"), "x1", F.col("top").alias("y1"))
+    return wraps.where(condition & F.col("x1").isNotNull()).select(*tile, "x0", F.col("y").alias("y0"), "x1", F.col("top").alias("y1"), *more)
 
 
 def area_by_tile(a: DataFrame, b: DataFrame | None, keep: Column | str, size: int = TILE, tags: tuple[str, ...] = ()) -> DataFrame:
@@ -82,3 +90,84 @@ def line_runs(segments: DataFrame, first: Column, second: Column, keep: str) ->
     fresh = F.coalesce((F.lag("t1").over(along) < F.col("t0")).cast("int"), F.lit(1))
     chained = kept.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     return chained.groupBy("line", "run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("run")
+
+
+def swapped(df: DataFrame) -> DataFrame:
+    """Boxes with x and y exchanged, so that what works along x works along y."""
+    return df.withColumns({"x0": F.col("y0"), "y0": F.col("x0"), "x1": F.col("y1"), "y1": F.col("x1")})
+
+
+def outline(a: DataFrame, tags: tuple[str, ...] = (), size: int = TILE) -> DataFrame:
+    """The merged region's edges: (*tags, axis, at, side, t0, t1).
+
+    ``axis`` x holds edges along x at y = ``at``; ``side`` is -1 where the
+    region begins there and 1 where it ends.  Borders of the runs that a
+    neighbouring run continues cancel out; the rest is chained along its line.
+    """
+    found = None
+    boxes = staged(runs(a, None, "or", size, tags), "runs")
+    for axis, low, high, t in (("y", "x0", "x1", "y"), ("x", "y0", "y1", "x")):
+        sides = F.inline(F.array(F.struct(F.col(low).alias("at"), F.lit("a").alias("border")), F.struct(F.col(high).alias("at"), F.lit("b").alias("border"))))
+        borders = boxes.select(*tags, sides, F.col(f"{t}0").cast("long").alias("t0"), F.col(f"{t}1").cast("long").alias("t1"))
+        line = F.struct(*tags, F.lit(axis).alias("axis"), "at").alias("line")
+        borders = borders.select(line, "border", "t0", "t1")
+        for keep, side in (("not", -1), ("not", 1)):
+            first, second = (F.col("border") == "a", F.col("border") == "b")[::-side]
+            part = line_runs(borders, first, second, keep).select("line.*", F.lit(side).alias("side"), "t0", "t1")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
+def facing(a: DataFrame, distance: int, inside: bool, tags: tuple[str, ...] = (), size: int = TILE) -> DataFrame:
+    """Edge pairs of the merged region that face each other less than ``distance`` apart, as (*tags, axis, first, second, t0, t1).
+
+    With ``inside`` pairs face through the region (width), else through the gap
+    between its parts or a notch (space).  ``axis`` y holds vertical edges at
+    x = ``first`` and ``second`` that both run over t0..t1.
+
+    A tile is swept with a rim of ``distance`` around it, so runs shorter than
+    that and beginning in the tile are whole; their pieces are chained along t.
+    """
+    found = None
+    for axis, boxes in (("y", a), ("x", swapped(a))):
+        near = tiled(boxes.select(*g.BOX, *tags), size, distance)
+        tile = ["tx", "ty", *tags]
+        wraps = swept(near.withColumn("side", F.lit("a")), tile)
+        wraps = wraps.where(F.col("x1").isNotNull()).withColumn("in", F.col("a") > 0)
+        # neighbouring runs that are both covered or both free are one
+        along = Window.partitionBy(*tile, "y", "top").orderBy("x0")
+        fresh = F.coalesce((F.lag("in").over(along) != F.col("in")).cast("int"), F.lit(1))
+        wraps = wraps.withColumn("run", F.sum(fresh).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        strips = wraps.groupBy(*tile, "y", "top", "run", "in").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+        mine = (F.floor(F.col("x0") / size) == F.col("tx")) & (F.col("x1") - F.col("x0") < distance) & (F.col("in") == inside)
+        low, high = F.greatest("y", F.col("ty") * size), F.least("top", F.col("ty") * size + size)
+        strips = strips.where(mine).select(*tags, "x0", "x1", low.cast("long").alias("t0"), high.cast("long").alias("t1")).where("t1 > t0")
+        line = F.struct(*tags, F.lit(axis).alias("axis"), F.col("x0").alias("first"), F.col("x1").alias("second")).alias("line")
+        chained = line_runs(strips.select(line, F.lit("a").alias("layer"), "t0", "t1"), F.lit(True), F.lit(False), "or").select("line.*", "t0", "t1")
+        found = chained if found is None else found.unionByName(chained)
+    return found
+
+
+def sized(a: DataFrame, by: int) -> DataFrame:
+    """Boxes grown by ``by`` on all sides; merged, they are the grown region."""
+    x0, y0, x1, y1 = g.box()
+    return a.withColumns({"x0": x0 - by, "y0": y0 - by, "x1": x1 + by, "y1": y1 + by})
+
+
+def shrunk_area(a: DataFrame, by: int, size: int = TILE) -> DataFrame:
+    """(tx, ty, area) of the merged region less all within ``by`` of what it does not cover.
+
+    The free part of each tile and a rim around it is grown and taken away.
+    """
+    near = tiled(a.select(*g.BOX), size, by + 1)
+    x0, y0 = F.col("tx") * size - by - 1, F.col("ty") * size - by - 1
+    frame = near.select("tx", "ty").distinct().select("tx", "ty", x0.alias("x0"), y0.alias("y0"), (x0 + size + 2 * by + 2).alias("x1"), (y0 + size + 2 * by + 2).alias("y1"))
+    both = near.select("tx", "ty", *g.BOX, F.lit("b").alias("side")).unionByName(frame.withColumn("side", F.lit("a")))
+    wraps = swept(both, ["tx", "ty"]).where("x1 IS NOT NULL AND a > 0 AND b = 0")
+    free = sized(wraps.select("tx", "ty", "x0", F.col("y").alias("y0"), "x1", F.col("top").alias("y1")), by)
+    tx, ty = F.col("tx") * size, F.col("ty") * size
+    core = {"x0": F.greatest("x0", tx), "y0": F.greatest("y0", ty), "x1": F.least("x1", tx + size), "y1": F.least("y1", ty + size)}
+    both = near.select("tx", "ty", *g.BOX, F.lit("a").alias("side")).unionByName(free.select("tx", "ty", *g.BOX, F.lit("b").alias("side"))).withColumns(core)
+    left = swept(both.where("x1 > x0 AND y1 > y0"), ["tx", "ty"]).where("x1 IS NOT NULL AND a > 0 AND b = 0")
+    area = (F.col("x1") - F.col("x0")).cast("long") * (F.col("top") - F.col("y"))
+    return left.groupBy("tx", "ty").agg(F.sum(area).alias("area"))

@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
 from lamina.operators import connectivity, hierarchy, netlist, spatial, sweep
-from lamina.plans.views import RECTS_SQL, SEGMENTS_SQL, layer, read, rects, segments
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str, views: str = RECTS_SQL):
-    """Registers a function by its name, with its SQL after the views it uses."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        with_ = "WITH RECURSIVE" if "RECURSIVE" in sql else "WITH"
-        body = sql.replace("RECURSIVE", "")
-        ORACLES[f.__name__] = f"{with_} {views}{',' if body.lstrip().startswith('@') else ''} {body.replace('@', '')}" if views else body
-        return f
-
-    return add
-
+from lamina.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from lamina.plans.views import SEGMENTS_SQL, layer, read, rects, segments
 
 BOXES = ["x0", "y0", "x1", "y1"]
 

@@ -41,6 +41,19 @@ def layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rects(spark, sf_dir).where(F.col("layer") == name)
 
 
+def polys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, layer, pts): an L, a triangle or a box for each box, by its width; contours run clockwise."""
+    from lamina.functions.shapes import point
+
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    xm, ym = (x0 + F.floor((x1 - x0) / 2)), (y0 + F.floor((y1 - y0) / 2))
+    ell = F.array(point(x0, y0), point(x0, y1), point(xm, y1), point(xm, ym), point(x1, ym), point(x1, y0))
+    three, four = F.array(point(x0, y0), point(x0, y1), point(x1, y0)), F.array(point(x0, y0), point(x0, y1), point(x1, y1), point(x1, y0))
+    kind = (x1 - x0) % 3
+    pts = F.when((kind == 0) & (x1 - x0 >= 2) & (y1 - y0 >= 2), ell).when(kind == 1, three).otherwise(four)
+    return rects(spark, sf_dir).select("id", "layer", pts.alias("pts"))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line, layer, t0, t1): an edge from each event of a user to the next one, in whole seconds."""
     from pyspark.sql import Window

@@ -1 +1 @@
-"""Part of the layout engine."""
+"""Readers and writers of layout and report files, and tables staged in the shared folder."""

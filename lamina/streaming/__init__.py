@@ -1 +1 @@
-"""Part of the layout engine."""
+"""Structured Streaming jobs of the layout engine."""

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lamina.plans import catalog
+from lamina.plans import catalog, shape_catalog  # noqa: F401
 
 
 @pytest.fixture(scope="module")
