@@ -98,18 +98,18 @@ def swapped(df: DataFrame) -> DataFrame:
 
 
 def outline(a: DataFrame, tags: tuple[str, ...] = (), size: int = TILE) -> DataFrame:
-    """The merged region's edges: (*tags, axis, at, side, t0, t1).
+    """The merged region's edges: (*tags, axis, pos, side, t0, t1).
 
-    ``axis`` x holds edges along x at y = ``at``; ``side`` is -1 where the
+    ``axis`` x holds edges along x at y = ``pos``; ``side`` is -1 where the
     region begins there and 1 where it ends.  Borders of the runs that a
     neighbouring run continues cancel out; the rest is chained along its line.
     """
     found = None
     boxes = staged(runs(a, None, "or", size, tags), "runs")
     for axis, low, high, t in (("y", "x0", "x1", "y"), ("x", "y0", "y1", "x")):
-        sides = F.inline(F.array(F.struct(F.col(low).alias("at"), F.lit("a").alias("border")), F.struct(F.col(high).alias("at"), F.lit("b").alias("border"))))
+        sides = F.inline(F.array(F.struct(F.col(low).alias("pos"), F.lit("a").alias("border")), F.struct(F.col(high).alias("pos"), F.lit("b").alias("border"))))
         borders = boxes.select(*tags, sides, F.col(f"{t}0").cast("long").alias("t0"), F.col(f"{t}1").cast("long").alias("t1"))
-        line = F.struct(*tags, F.lit(axis).alias("axis"), "at").alias("line")
+        line = F.struct(*tags, F.lit(axis).alias("axis"), "pos").alias("line")
         borders = borders.select(line, "border", "t0", "t1")
         for keep, side in (("not", -1), ("not", 1)):
             first, second = (F.col("border") == "a", F.col("border") == "b")[::-side]

@@ -215,20 +215,20 @@ def edge_start_segments(spark, sf):
 
 _CELLS = "@cells AS (SELECT DISTINCT layer, x, y FROM (SELECT layer, x, unnest(range(y0, y1)) AS y FROM (SELECT layer, y0, y1, unnest(range(x0, x1)) AS x FROM rects)))"
 _OUTLINE = _CELLS + """, borders AS (
-    SELECT c.layer, 'y' AS axis, c.x AS at, -1 AS side, c.y AS t FROM cells c ANTI JOIN cells d ON c.layer = d.layer AND c.y = d.y AND d.x = c.x - 1
+    SELECT c.layer, 'y' AS axis, c.x AS pos, -1 AS side, c.y AS t FROM cells c ANTI JOIN cells d ON c.layer = d.layer AND c.y = d.y AND d.x = c.x - 1
     UNION ALL SELECT c.layer, 'y', c.x + 1, 1, c.y FROM cells c ANTI JOIN cells d ON c.layer = d.layer AND c.y = d.y AND d.x = c.x + 1
     UNION ALL SELECT c.layer, 'x', c.y, -1, c.x FROM cells c ANTI JOIN cells d ON c.layer = d.layer AND c.x = d.x AND d.y = c.y - 1
     UNION ALL SELECT c.layer, 'x', c.y + 1, 1, c.x FROM cells c ANTI JOIN cells d ON c.layer = d.layer AND c.x = d.x AND d.y = c.y + 1),
-  outline AS (SELECT layer, axis, at, side, min(t) AS t0, max(t) + 1 AS t1 FROM (SELECT *, t - row_number() OVER (PARTITION BY layer, axis, at, side ORDER BY t) AS island FROM borders) GROUP BY layer, axis, at, side, island)"""
+  outline AS (SELECT layer, axis, pos, side, min(t) AS t0, max(t) + 1 AS t1 FROM (SELECT *, t - row_number() OVER (PARTITION BY layer, axis, pos, side ORDER BY t) AS island FROM borders) GROUP BY layer, axis, pos, side, island)"""
 
 
 def _outline(spark, sf) -> DataFrame:
     return sweep.outline(rects(spark, sf), ("layer",))
 
 
-@query(_OUTLINE + " SELECT layer, axis, CAST(at AS BIGINT) AS at, side, CAST(t0 AS BIGINT) AS t0, CAST(t1 AS BIGINT) AS t1 FROM outline")
+@query(_OUTLINE + " SELECT layer, axis, CAST(pos AS BIGINT) AS pos, side, CAST(t0 AS BIGINT) AS t0, CAST(t1 AS BIGINT) AS t1 FROM outline")
 def merged_edges(spark, sf):
-    return _outline(spark, sf).withColumn("at", F.col("at").cast("long"))
+    return _outline(spark, sf).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(_OUTLINE + " SELECT layer, count(*) AS edges, CAST(sum(t1 - t0) AS BIGINT) AS perimeter FROM outline GROUP BY layer")
