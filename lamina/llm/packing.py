@@ -6,7 +6,10 @@ again, as a tree.  The tree's width follows the number of open bins, so no
 task is given more than a bounded number of them.
 
 Defined cases: a null text is empty and gives one piece that holds the end id;
-repeated rows are packed each by itself; an empty table gives no rows.
+very long texts are cut into pieces and encoded slice by slice; repeated rows
+are packed each by itself; a null doc_id stays null; of bins with equal room
+that fits, the last one opened is filled; other columns are not looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -109,7 +112,8 @@ def pack(pieces: DataFrame, size: int = 4096, slack: int = 4, fan_in: int = 8) -
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     whole = pieces.where(F.col("length") >= size).select(F.array(member).alias("members"), F.col("length").alias("filled"))
     rest = pieces.where(F.col("length") < size)
-    items = rest.select(F.xxhash64("doc_id", "piece").alias("bin"), F.lit(0).alias("level"), F.col("length").alias("filled"), F.array(member).alias("members"))
+    number = F.monotonically_increasing_id()  # of a staged table; repeated rows go to different tasks
+    items = rest.select(F.xxhash64("doc_id", "piece", number).alias("bin"), F.lit(0).alias("level"), F.col("length").alias("filled"), F.array(member).alias("members"))
     done: list[DataFrame] = []
     n = rest.count()
     tasks, level = max(1, -(-n // TASK_ITEMS)), 1

@@ -9,7 +9,9 @@ counts, control bytes and data bytes.  A document longer than a block goes on
 in the next one.
 
 Defined cases: a null text is empty; a null doc_id sorts first and stays null;
-equal doc_ids follow in order of their ids' bytes; an empty table gives no file.
+equal doc_ids follow in order of a hash of their ids; very long texts go on over
+blocks; columns other than id and text are not looked at; an empty table gives
+no file.
 """
 
 from __future__ import annotations
@@ -149,7 +151,8 @@ def write_files(tokens: DataFrame, path: str, size: int) -> list[tuple[str, int,
                 flush()
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([total])], ["part", "name", "total"])
 
-    ordered = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
+    tie = F.xxhash64("ids").alias("tie")  # spreads rows of one id over files
+    ordered = tokens.select("doc_id", tie, "ids").repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
     found = sorted(tuple(r) for r in ordered.mapInArrow(run, "part long, name string, total long").collect())
     before = np.cumsum([0, *[t for _, _, t in found]]).tolist()
     prefix = path.partition(":")[0] + "://" if ":" in path else ""

@@ -1,8 +1,8 @@
 """Token ids by a public tokenizer file, with a bounded memory of whitespace-delimited chunks.
 
 A text is cut where its tokenization cannot span: before a single space that
-stands between two other characters.  Each distinct chunk goes through the
-tokenizers library once while it is remembered; texts are then gathered from
+stands between two other characters.  A sign at a word's end is a chunk of its own.
+Each distinct chunk goes through the tokenizers library once while it is remembered; texts are then gathered from
 the remembered ids with numpy.  The result equals that of encoding whole texts.
 """
 
@@ -20,36 +20,53 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks remembered by one worker.
-REMEMBERED = 1_000_000
+#: Chunks after which a worker begins its memory anew, after one more slice of text at most.
+REMEMBERED = 400_000
 #: Characters taken at a time.
 SLICE = 500_000
 
+#: Chunks that stay when the memory begins anew: the first ones, as frequent ones come up early.
+KEPT = 60_000
+
 _INNER = re.compile(r"(?<=\S) (?=\S)")
-#: Signs that end a word of letters and begin a pre-token of their own.
-_SIGNS = ".,;:!?|%#*$&"
+#: A sign after a letter or digit at a word's end, which is a pre-token of its own.
+_TAIL = re.compile(r"([.,;:!?])(?=[ \n]|$)(?<=[^\W_].)")
+#: Marks before a chunk's name: at the start of a line, a sign at a word's end, with space inside.
+_START, _SIGN, _WIDE = "\n", "\x01", "\x02"
 
 
-class IdTable:
-    """Strings and their ids, all ids in one growing array."""
+class IdTable(dict):
+    """Strings and the positions of their ids, which lie in one growing array; strings looked up for the first time are noted as ``new``."""
 
     def __init__(self) -> None:
-        self.at: dict[str, int] = {}
+        self.new: list[str] = []
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(0, np.int64)
         self.lens = np.zeros(0, np.int64)
 
-    def add(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        if not keys:
-            return
+    def __missing__(self, key: str) -> int:
+        at = self[key] = len(self)
+        self.new.append(key)
+        return at
+
+    def fill(self, which: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        """The ids of the entries ``which`` in a row."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
+        more = max(len(self) - len(self.starts), 0)
+        self.starts, self.lens = np.append(self.starts, np.zeros(more, np.int64)), np.append(self.lens, np.zeros(more, np.int64))
+        self.starts[which], self.lens[which] = self.used + np.cumsum(lens) - lens, lens
         self.used += len(ids)
-        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+
+    def first(self, n: int) -> IdTable:
+        """A table of the first ``n`` entries."""
+        out = IdTable()
+        out.update(zip(list(self)[:n], range(n), strict=False))
+        ids, lens = self.gather(np.arange(len(out)))
+        out.fill(np.arange(len(out)), ids, lens)
+        return out
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of entries ``at`` in a row, and how many each has."""
@@ -61,7 +78,11 @@ class IdTable:
 
 
 class ChunkEncoder:
-    """Encodes texts to arrays of ids."""
+    """Encodes texts to arrays of ids.
+
+    A chunk is named by its word, which may stand for the word with the space
+    before it; other chunks have a mark before their name.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -82,84 +103,86 @@ class ChunkEncoder:
         for token, k in vocab.items():
             self.border[k] = token.endswith(suffix) if suffix else token.startswith("Ġ")
         self.line_break = self._encode("\n")[0] if self.leading else -1
-        self.parts, self.known = IdTable(), IdTable()  # words and the signs after them; chunks
-        self.parts.add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.known = IdTable()
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _encode_stems(self, stems: list[str], by_line: bool = False) -> None:
-        """Many words of letters at once: each is one pre-token, told apart by its border token or by line breaks."""
-        for at in range(0, len(stems), 2000):
-            part = stems[at : at + 2000]
-            ids = self._encode(("\n" if by_line else "" if self.leading else " ").join(part))
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _each(self, which: list[int], texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.known.fill(np.array(which), np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found]))
+
+    def _joined(self, which: list[int], words: list[str], by_line: bool = False) -> None:
+        """Many words without space inside at once, told apart by their border tokens or by line breaks."""
+        for at in range(0, len(words), 2000):
+            part, places = words[at : at + 2000], which[at : at + 2000]
+            joint = "\n" if by_line else " "
+            text = joint.join(part)
+            ids = self._encode(text if by_line or not self.leading else f" {text}")
             if by_line:
-                breaks = np.flatnonzero(ids == self.line_break)
-                begin, end = np.insert(breaks + 1, 0, 0), np.append(breaks, len(ids))
+                ends = np.append(np.flatnonzero(ids == self.line_break), len(ids))
+                begins = np.append(0, ends[:-1] + 1)
             else:
                 cuts = np.flatnonzero(self.border[ids])
-                begin, end = (cuts, np.append(cuts[1:], len(ids))) if self.leading else (np.insert(cuts[:-1] + 1, 0, 0), cuts + 1)
-            if len(begin) == len(part) and begin[0] == 0 and end[-1] == len(ids):
-                keep = np.ones(len(ids), bool)
-                if by_line:
-                    keep[breaks] = False
-                self.parts.add(part, ids[keep], end - begin)
+                begins, ends = (cuts, np.append(cuts[1:], len(ids))) if self.leading else (np.insert(cuts[:-1] + 1, 0, 0), cuts + 1)
+            if len(begins) == len(part) and begins[0] == 0 and ends[-1] == len(ids):
+                keep = ids != self.line_break if by_line else slice(None)
+                self.known.fill(np.array(places), ids[keep], ends - begins)
             else:
-                self._add_each(self.parts, part)
-
-    def _add_each(self, table: IdTable, keys: list[str]) -> None:
-        if keys:
-            ids = [self._encode(k) for k in keys]
-            table.add(keys, np.concatenate(ids), np.array([len(x) for x in ids]))
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.parts.at) > REMEMBERED:
-            self.parts = IdTable()
-            self.parts.add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        stems = {c: c.rstrip(_SIGNS) for c in chunks}
-        split = {c: s for c, s in stems.items() if s[s[:1] == " " :].isalpha()}
-        self._add_each(self.known, [c for c in stems if c not in split])
-        new = set(split.values()).difference(self.parts.at)
-        at_start = {a for a in new if self.leading and a[0] != " "}
-        self._encode_stems(list(new - at_start))
-        self._encode_stems(list(at_start), by_line=True)
-        tails = [c[len(s) :] for c, s in split.items()]
-        self._add_each(self.parts, list(set(tails).difference(self.parts.at)))
-        at = np.empty((len(split), 2), np.int64)
-        at[:, 0] = np.fromiter(map(self.parts.at.__getitem__, split.values()), np.int64, len(split))
-        at[:, 1] = np.fromiter(map(self.parts.at.__getitem__, tails), np.int64, len(split))
-        ids, lens = self.parts.gather(at.reshape(-1))
-        self.known.add(list(split), ids, lens.reshape(-1, 2).sum(axis=1))
+                self._each(places, [f" {w}" for w in part] if self.leading and not by_line else part)
+
+    def _learn(self) -> None:
+        """Encodes new chunks."""
+        new = self.known.new
+        self.known.new = []
+        begin = len(self.known) - len(new)
+        plain = [k for k, c in enumerate(new) if c[0] not in "\n\x01\x02"] if self.leading else [k for k, c in enumerate(new) if c.isalpha()]
+        others = set(range(len(new))).difference(plain)
+        starts = [k for k in others if self.leading and new[k][0] == _START and len(new[k].split()) == 1 and not new[k][-1].isspace()]
+        others = sorted(others.difference(starts))
+        if plain:
+            self._joined([begin + k for k in plain], [new[k] for k in plain])
+        if starts:
+            self._joined([begin + k for k in starts], [new[k][1:] for k in starts], by_line=True)
+        if others:
+            named = {_START: "", _SIGN: "", _WIDE: " " if self.leading else ""}
+            texts = [c if c == "\n" or c[0] not in named else named[c[0]] + c[1:] for c in map(new.__getitem__, others)]
+            self._each([begin + k for k in others], texts)
 
     def chunks(self, text: str) -> list[str]:
+        """Names of the chunks of a text, which holds none of the marks but line breaks."""
         if not text:
             return []
-        parts = text.split()
-        if " ".join(parts) != text.replace("\n", " "):  # not only single spaces and line breaks between other characters
-            parts = _INNER.split(text)
-            return [parts[0], *[f" {p}" for p in parts[1:]]] if self.leading else parts
+        words = text.split()
+        if " ".join(words) != (text.replace("\n", " ") if "\n" in text else text):  # not only single spaces and line breaks between other characters
+            words = [w if len(w.split()) == 1 and not w[-1].isspace() and not w[0].isspace() else f"{_WIDE}{w}" for w in _INNER.split(text)]
+            if self.leading:
+                words[0] = f"{_START}{words[0].removeprefix(_WIDE)}"
+            return words
+        split = _TAIL.sub(" \x01\\1", text)
         if not self.leading:
-            return parts
+            return split.split()
         if "\n" not in text:
-            return [parts[0], *[f" {p}" for p in parts[1:]]]
+            words = split.split(" ")
+            words[0] = f"\n{words[0]}"
+            return words
         out: list[str] = []
-        for line in text.split("\n"):
-            parts = line.split(" ")
-            out += ["\n", parts[0]] if out else parts[:1]
-            out += [f" {p}" for p in parts[1:]]
+        for line in split.split("\n"):
+            words = line.split(" ")
+            words[0] = f"\n{words[0]}"
+            if out:
+                out.append("\n")
+            out += words
         return out
 
     def _gather(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all lists in a row, and how many each list has."""
-        distinct = set(chain.from_iterable(lists))
-        new = distinct.difference(self.known.at)
-        if len(self.known.at) + len(new) > REMEMBERED:
-            self.known = IdTable()
-            new = distinct
-        self._learn(new)
-        here = dict(zip(distinct, map(self.known.at.__getitem__, distinct), strict=True))  # small, so it stays in the processor's cache
+        if len(self.known) > REMEMBERED:
+            self.known = self.known.first(KEPT)
         sizes = np.array([len(x) for x in lists])
-        at = np.fromiter(map(here.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+        if self.known.new:
+            self._learn()
         ids, lens = self.known.gather(at)
         edges = np.concatenate([[0], np.cumsum(lens)])
         return ids, np.diff(edges[np.concatenate([[0], np.cumsum(sizes)])])
@@ -176,7 +199,7 @@ class ChunkEncoder:
         for text in texts:
             text = text or ""
             # a text is normalized as a whole first
-            if (not self.leading and not unicodedata.is_normalized("NFC", text)) or (any(s in text for s in self.signs) and self.special.search(text)):
+            if (not self.leading and not unicodedata.is_normalized("NFC", text)) or (any(s in text for s in self.signs) and self.special.search(text)) or _SIGN in text or _WIDE in text:
                 if group:
                     yield from flush()
                     group, held = [], 0
@@ -202,11 +225,10 @@ class ChunkEncoder:
         while at < len(text):
             cut = _INNER.search(text, at + SLICE)
             end = cut.start() if cut else len(text)
+            parts = self.chunks(text[at + 1 if at else 0 : end])  # a later slice begins with its inner space
             if at and self.leading:
-                parts = self.chunks(text[at + 1 : end])
-                found.append(self._gather([[f" {parts[0]}", *parts[1:]]])[0])
-            else:
-                found.append(self._gather([self.chunks(text[at:end].strip(" ") if at else text[at:end])])[0])
+                parts[0] = parts[0][1:] if len(parts[0].split()) == 1 and not parts[0][-1].isspace() else f"{_WIDE}{parts[0][1:]}"
+            found.append(self._gather([parts])[0])
             at = end
         return np.concatenate(found)
 
