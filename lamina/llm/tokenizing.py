@@ -138,7 +138,7 @@ class ChunkEncoder:
         begin = len(self.known) - len(new)
         plain = [k for k, c in enumerate(new) if c[0] not in "\n\x01\x02"] if self.leading else [k for k, c in enumerate(new) if c.isalpha()]
         others = set(range(len(new))).difference(plain)
-        starts = [k for k in others if self.leading and new[k][0] == _START and len(new[k].split()) == 1 and not new[k][-1].isspace()]
+        starts = [k for k in others if self.leading and new[k][0] == _START and new[k][1:].split() == [new[k][1:]]]
         others = sorted(others.difference(starts))
         if plain:
             self._joined([begin + k for k in plain], [new[k] for k in plain])
@@ -155,7 +155,7 @@ class ChunkEncoder:
             return []
         words = text.split()
         if " ".join(words) != (text.replace("\n", " ") if "\n" in text else text):  # not only single spaces and line breaks between other characters
-            words = [w if len(w.split()) == 1 and not w[-1].isspace() and not w[0].isspace() else f"{_WIDE}{w}" for w in _INNER.split(text)]
+            words = [w if w.split() == [w] else f"{_WIDE}{w}" for w in _INNER.split(text)]
             if self.leading:
                 words[0] = f"{_START}{words[0].removeprefix(_WIDE)}"
             return words
@@ -227,7 +227,8 @@ class ChunkEncoder:
             end = cut.start() if cut else len(text)
             parts = self.chunks(text[at + 1 if at else 0 : end])  # a later slice begins with its inner space
             if at and self.leading:
-                parts[0] = parts[0][1:] if len(parts[0].split()) == 1 and not parts[0][-1].isspace() else f"{_WIDE}{parts[0][1:]}"
+                word = parts[0][1:]
+                parts[0] = word if word.split() == [word] else f"{_WIDE}{word}"
             found.append(self._gather([parts])[0])
             at = end
         return np.concatenate(found)
