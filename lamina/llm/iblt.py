@@ -8,7 +8,8 @@ recovers those digests.  Where peeling stops early, larger sketches are tried.
 
 Defined cases: null and empty texts have no paragraphs and are fully alike;
 equal doc_ids follow one another by text, a null doc_id comes last; a single
-document is its own next one; an empty table gives no rows.
+document is its own next one; very long texts are compared by themselves;
+columns other than id and text are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,17 +20,20 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cells of a fingerprint; larger sketches have four times as many each time.
-CELLS = 12
+CELLS = 48
 #: Characters of text compared at a time.
 SLICE = 2_000_000
 _PARAGRAPH = re.compile(r"[^.!?|\n]+[.!?|]*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(0xFFFFFFFF)  # check words have 32 bits
+_CELL = np.dtype([("n", "<u4"), ("k", "<u8"), ("c", "<u4")])
 
 
 def digests(text: str) -> np.ndarray:
@@ -66,7 +70,7 @@ class Sketches:
     def _add(self, owner: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> None:
         row = self.cells // 3
         times = sign.astype(np.uint64)  # -1 wraps
-        word = _mixed(keys, 99)
+        word = _mixed(keys, 99) & _LOW
         for j in range(3):
             at = owner * self.cells + j * row + (_mixed(keys, 3 * self.seed + j) % np.uint64(row)).astype(np.int64)
             np.add.at(self.count, at, sign)
@@ -98,7 +102,7 @@ class Sketches:
         while len(look):
             sign = self.count[look]
             keys = self.keys[look] * sign.astype(np.uint64)
-            pure = _mixed(keys, 99) * sign.astype(np.uint64) == self.check[look]
+            pure = (_mixed(keys, 99) * sign.astype(np.uint64) ^ self.check[look]) & _LOW == 0
             owner, keys, sign = look[pure] // self.cells, keys[pure], sign[pure]
             if not len(owner):
                 break
@@ -108,16 +112,40 @@ class Sketches:
             np.add.at(found, owner, 1)
             out.append((owner, keys, sign))
             look = np.flatnonzero(np.abs(self.count) == 1)
-        left = (self.count != 0) | (self.keys != 0) | (self.check != 0)
+        left = (self.count != 0) | (self.keys != 0) | (self.check & _LOW != 0)
         return ~left.reshape(n, self.cells).any(axis=1), found, out
 
     def strings(self, sizes: list[int]) -> list[str]:
         """A printable form of each sketch: the set's size and its cells."""
-        cells = np.zeros(len(self.count), [("n", "<u4"), ("k", "<u8"), ("c", "<u4")])
-        cells["n"], cells["k"], cells["c"] = self.count.astype(np.uint32), self.keys, self.check >> np.uint64(32)
+        cells = np.zeros(len(self.count), _CELL)
+        cells["n"], cells["k"], cells["c"] = self.count.astype(np.uint32), self.keys, self.check & _LOW
         return [f"{n:x}:{base64.b64encode(row.tobytes()).decode()}" for n, row in zip(sizes, cells.reshape(-1, self.cells), strict=True)]
 
 
+def read(names: list[str]) -> tuple[np.ndarray, Sketches]:
+    """The sizes and sketches that printed fingerprints hold."""
+    parts = [n.split(":", 1) for n in names]
+    cells = np.frombuffer(b"".join(base64.b64decode(body) for _, body in parts), _CELL)
+    s = Sketches(len(cells) // max(len(names), 1), 0, 0)
+    s.count, s.keys, s.check = cells["n"].astype(np.int32).astype(np.int64), cells["k"].astype(np.uint64), cells["c"].astype(np.uint64)
+    return np.array([int(n, 16) for n, _ in parts], np.int64), s
+
+
+def compared(first: Column, second: Column) -> Column:
+    """Likeness of two printed fingerprints from their difference alone; null where they differ in too many paragraphs to peel."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        sizes, both = read([*a, *b])
+        n = len(a)
+        ok, found, _ = both.minus(np.arange(n), np.arange(n, 2 * n)).peel()
+        total = sizes[:n] + sizes[n:]
+        return pd.Series(np.where(ok, np.where(total > 0, (total - found) / np.maximum(total + found, 1), 1.0), np.nan)).astype("Float64").mask(~ok)
+
+    return F.pandas_udf(run, "double")(first, second)
+
+
 def likeness(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, first: Sketches | None = None) -> np.ndarray:
     """Jaccard likeness of sets ``a[i]`` and ``b[i]`` from peeled differences, retrying larger where peeling fails."""
     sizes = np.array([len(x) for x in sets])

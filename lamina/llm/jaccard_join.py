@@ -52,7 +52,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import staged
@@ -103,6 +103,17 @@ def node_of(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
+def node_column(text: Column, width: int) -> Column:
+    """The name of each text's set."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _Words()
+        for batch in batches:
+            yield pd.Series([node_of(shingle_set(t, width, known)) for t in batch], dtype="int64")
+
+    return F.pandas_udf(run, "long")(text)
+
+
 class Signer:
     """Block signatures of sets, see point 2; ``percent`` is the least likeness."""
 
@@ -540,11 +551,11 @@ def region_links(members: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose shingle sets are at least ``percent`` / 100 alike are linked."""
-    return join_sets_of(docs, id_column, text, width, percent).drop("node")
+    return join_sets_of(docs, id_column, text, width, percent).drop("node", "label")
 
 
 def join_sets_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """``join`` with ``node``, the name of each document's set."""
+    """``join`` with ``node``, the name of each document's set, and ``label``, that of its component."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = staged(shingle_sets(docs, width, percent), "sets")
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -577,10 +588,10 @@ def join_sets_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             roots = spanning_stars(links)
     named = labelled(classes.select("node", "rep"), roots)
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "label").select("node", "component_id")
+    named = named.join(smallest, "label").select("node", "component_id", "label")
     out = lean.join(named, "node", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "label")
 
 
 def ring_links(docs: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:

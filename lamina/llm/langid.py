@@ -7,8 +7,9 @@ through time on windows of a bounded sample of labelled documents.
 
 Defined cases: a null text and a text without a letter are ``und`` with score
 0; very long texts are read whole, window by window; repeated rows get equal
-results; without labelled rows every text is ``und``; other columns stay as
-they are.
+results; of equally likely languages the first by name is taken; without
+labelled rows, as in an empty table, every text is ``und``; other columns stay
+as they are.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ _BATCH = 1024
 _LETTER = regex.compile(r"\p{L}")
 
 
-
 class ByteNetwork:
     """Weights: tables z, r, n (2 directions x 256 bytes, units), recurrent z, r, n (2, units, units), output (2 units, classes)."""
 
@@ -191,8 +191,14 @@ def training_windows(docs: DataFrame, text: str = "text", lang: str = "lang", or
     usable = usable.select(F.xxhash64(order).alias("h"), F.col(lang).alias("lang"), pieces.alias("pieces"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # cut to the first ones before rows are dealt
     chosen = usable.withColumn("rank", rank).where(F.col("rank") <= LEAST_DOCS).orderBy("rank", "h", "lang").limit(sample).collect()
+    # rows of the lowest hashes, cut by a bound that some three times the sample lie under, so few rows leave each task
+    n = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).count()
+    bound = -(1 << 63) + (1 << 64) * 3 * sample // max(n, 1)
+    near = usable.where(F.col("h") < bound).orderBy("h", "lang").limit(sample).collect() if bound < 1 << 63 else []
+    if len(near) < sample:
+        near = usable.orderBy("h", "lang").limit(sample).collect()
     first: Counter = Counter()
-    for r in usable.orderBy("h", "lang").limit(sample).collect():
+    for r in near:
         first[r["lang"]] += 1
         if first[r["lang"]] > LEAST_DOCS and len(chosen) < sample:
             chosen.append(r)

@@ -1,28 +1,38 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each document of a source gets the rate r = cap / (1 + (cap - 1) exp(-l z)),
-with z its size over the source's mean size: the rates nearest to 1 in bounded
-relative entropy whose tokens add up to the source's target.  One multiplier l
+Each document of a source gets the rate r = min(cap, exp(l z)), with z its size
+over the source's mean size: of all rates up to the cap whose tokens add up to
+the source's target, those nearest to 1 in relative entropy.  One multiplier l
 for each source solves the convex dual; Newton steps, kept inside a bracket,
 sum gradient and curvature over the (source, size) histogram on the cluster.
 Rates then become whole copies whose tokens follow the running target.
 
 Defined cases: a null text has size 0; null is a source of its own, last in
-order; an empty table gives no rows; a source without words gets target 0;
-repeated rows are separate documents.  Nothing but a largest residual reaches
-the driver, and no task holds more than a source's distinct sizes.
+order; an empty table gives no rows; a source without words gets target 0; very
+long texts count in full; equal sizes are told apart by a hash of the id;
+repeated rows are separate documents; columns other than id, text and source
+are not looked at.  Nothing but a largest residual reaches the driver, and a
+task that rounds holds ``RANGE_GROUPS`` groups of a source, about.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import staged, words
 
 #: Documents of one (source, size) group whose order one task settles.
 GROUP_ROWS = 512
+#: Groups of one source that one task rounds, about; those of a larger source are dealt over several.
+RANGE_GROUPS = 20_000
+
+
+def tilted(lam: Column, z: Column, cap: float) -> Column:
+    """The rate of a document of relative size ``z``."""
+    return F.least(F.lit(float(cap)), F.exp(F.least(lam * z, F.lit(50.0))))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -59,12 +69,12 @@ def balance(hist: DataFrame, targets: DataFrame, cap: float = 3.0, rounds: int =
     )
     for _ in range(rounds):
         z = F.col("h.size") / F.col("s.mean")
-        rate = F.lit(cap) / (1 + (cap - 1) * F.exp(-F.col("s.lam") * z))
+        rate = tilted(F.col("s.lam"), z, cap)
         tokens = F.col("h.n") * F.col("h.size")
         sums = (
             hist.alias("h").join(state.alias("s"), same).where("s.state = 1")
             .groupBy("s.source", "s.target", "s.mean", "s.state", "s.lam", "s.low", "s.high")
-            .agg((F.sum(tokens * rate) - F.col("s.target")).alias("f"), F.sum(tokens * rate * (1 - rate / cap) * z).alias("slope"))
+            .agg((F.sum(tokens * rate) - F.col("s.target")).alias("f"), F.sum(F.when(rate < cap, tokens * rate * z).otherwise(0)).alias("slope"))
         )
         low = F.when(F.col("f") < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(F.col("f") < 0, F.col("high")).otherwise(F.col("lam"))
@@ -78,29 +88,56 @@ def balance(hist: DataFrame, targets: DataFrame, cap: float = 3.0, rounds: int =
     return state.select("source", "target", "mean", "state", "lam")
 
 
+def nearer(sizes: np.ndarray, most: np.ndarray, copies: np.ndarray, off: float) -> np.ndarray:
+    """``copies`` with at most four changes, each one copy more, one less or both, that bring the tokens ``off`` the target nearest to it."""
+    copies = copies.copy()
+    for _ in range(4):
+        up, down = np.flatnonzero((copies < most) & (sizes > 0)), np.flatnonzero((copies > 0) & (sizes > 0))
+        gain, loss = np.append(0, sizes[up]), np.append(0, sizes[down])
+        order = np.argsort(loss, kind="stable")
+        at = np.searchsorted(loss[order], gain - off)
+        best = (abs(off) - 1e-9, -1, -1)
+        for near in (np.clip(at, 0, len(loss) - 1), np.clip(at - 1, 0, len(loss) - 1)):
+            left = np.abs(off - gain + loss[order[near]])
+            k = int(left.argmin())
+            best = min(best, (float(left[k]), k, int(order[near[k]])))
+        left, k, j = best
+        if k < 0:
+            break
+        if k:
+            copies[up[k - 1]] += 1
+        if j:
+            copies[down[j - 1]] -= 1
+        off = off - int(gain[k]) + int(loss[j])
+    return copies
+
+
 def copies_by_group(groups: DataFrame, solved: DataFrame, cap: float = 3.0) -> DataFrame:
     """Adds ``copies`` to (source, size, part, n): whole numbers that keep each source's running tokens at its running target.
 
-    Groups follow one another by falling size within a source; a task holds the
-    distinct sizes of its sources, not their documents.
+    Groups follow one another by falling size within a range of a source, a part
+    of its groups chosen by hash; each range keeps to its own running target and
+    is mended at the end, where a copy more or less brings it nearer.
     """
     most = int(cap)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "part"], ascending=[False, True], kind="stable")
-        ideal = taken = 0.0
-        out = []
-        for size, n, rate in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist(), strict=True):
+        sizes, ns, rates = pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist()
+        ideal, taken, out = 0.0, 0, []
+        for size, n, rate in zip(sizes, ns, rates, strict=True):
             ideal += n * size * rate
             k = 0 if size == 0 else min(most * n, max(0, int((ideal - taken) / size + 0.5)))
             taken += k * size
             out.append(k)
-        return pdf[["source", "size", "part", "n"]].assign(copies=out)
+        return pdf[["source", "size", "part", "n"]].assign(copies=nearer(np.array(sizes), most * np.array(ns), np.array(out), ideal - taken))
 
     rate = F.when(F.col("s.state") == 2, F.lit(cap)).when(F.col("s.state") == 0, F.lit(0.0))
-    rate = rate.otherwise(F.lit(cap) / (1 + (cap - 1) * F.exp(-F.col("s.lam") * F.col("h.size") / F.col("s.mean"))))
+    rate = rate.otherwise(tilted(F.col("s.lam"), F.col("h.size") / F.col("s.mean"), cap))
     rated = groups.alias("h").join(solved.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))).select("h.*", rate.alias("rate"))
-    return rated.groupBy("source").applyInPandas(fill, "source string, size long, part int, n long, copies long")
+    ranges = groups.groupBy("source").agg(F.ceil(F.count("*") / RANGE_GROUPS).cast("int").alias("ranges"))
+    rated = rated.alias("a").join(ranges.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", F.pmod(F.xxhash64("a.size", "a.part"), "b.ranges").alias("range"))
+    return rated.groupBy("source", "range").applyInPandas(fill, "source string, size long, part int, n long, copies long")
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:

@@ -4,8 +4,10 @@ Everything here is a Column expression: no Python runs on the executors and no
 row leaves its partition, so the plan is one scan with projections.
 
 Defined cases: a null text counts as empty; an empty text has no words, so it
-fails the base rules; rows are judged one by one, so ties and repeated rows
-give equal results; other columns pass through untouched.
+fails the base rules; very long texts are judged whole; rows are judged one by
+one, so ties and repeated rows give equal results.  Other columns pass through
+untouched, but those named like a result (``COUNTS``, ``clean_text``,
+``lost_chars``, ``kept_by_lines``) are replaced by it.
 """
 
 from __future__ import annotations
@@ -13,13 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import SPACE, words
+from lamina.llm.common import SPACE, free_name, words
 
 #: Phrases of legal and site boilerplate, matched in lower case.
 BOILERPLATE = (
     "licensed under|released under the|license, version|all rights reserved|copyright (c)|terms of use|terms of service|"
     "privacy policy|cookie policy|accept cookies|use of cookies|enable javascript|lorem ipsum|subscribe to our|click here|"
-    "powered by|skip to content"
+    "powered by|skip to content|"
+    "alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|cookies akzeptieren|javascript aktivieren|"
+    "tous droits réservés|conditions d'utilisation|politique de confidentialité|accepter les cookies|"
+    "todos los derechos reservados|términos de uso|política de privacidad|aceptar cookies"
 )
 _BOILER_RE = r"\b(?:" + BOILERPLATE.replace("(", "[(]").replace(")", "[)]") + ")"
 
@@ -66,12 +71,13 @@ def with_line_verdict(df: DataFrame, text: str = "text", max_lost: float = 0.5)
     ``max_lost`` of its characters in words.
     """
     total = lambda facts: F.aggregate(facts, F.lit(0).cast("long"), lambda s, f: s + f["chars"])
-    df = df.withColumn("_facts", line_facts(F.col(text)))
-    df = df.withColumn("_clean", F.filter("_facts", lambda f: ~line_fails(f)))
-    df = df.withColumn("clean_text", F.array_join(F.col("_clean.line"), "\n"))
-    df = df.withColumn("word_chars", total(F.col("_facts"))).withColumn("lost_chars", F.col("word_chars") - total(F.col("_clean")))
-    df = df.withColumn("n_dup_lines", (F.size("_facts") - F.size(F.array_distinct(F.col("_facts.line")))).cast("long"))
-    return df.withColumn("kept_by_lines", F.col("lost_chars") <= max_lost * F.col("word_chars")).drop("_facts", "_clean")
+    facts, clean = free_name(df, "_facts"), free_name(df, "_clean")
+    df = df.withColumn(facts, line_facts(F.col(text)))
+    df = df.withColumn(clean, F.filter(facts, lambda f: ~line_fails(f)))
+    df = df.withColumn("clean_text", F.array_join(F.col(f"{clean}.line"), "\n"))
+    df = df.withColumn("word_chars", total(F.col(facts))).withColumn("lost_chars", F.col("word_chars") - total(F.col(clean)))
+    df = df.withColumn("n_dup_lines", (F.size(facts) - F.size(F.array_distinct(F.col(f"{facts}.line")))).cast("long"))
+    return df.withColumn("kept_by_lines", F.col("lost_chars") <= max_lost * F.col("word_chars")).drop(facts, clean)
 
 
 def window_hashes(tokens: Column) -> Column:
@@ -88,18 +94,19 @@ def rule_columns(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> Da
     distinct hashes are as many as the windows nothing repeats; other texts
     sort (hash, position) pairs and add up the widths of the covered runs.
     """
+    words_, windows_, repeats_, pairs_, hits_ = (free_name(df, c) for c in ("_words", "_windows", "_repeats", "_pairs", "_hits"))
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_words", words(F.col(text)))
-    df = df.withColumn("_windows", window_hashes(F.col("_words")))
-    df = df.withColumn("_repeats", F.size("_windows") > F.size(F.array_distinct("_windows")))
+    df = df.withColumn(words_, words(F.col(text)))
+    df = df.withColumn(windows_, window_hashes(F.col(words_)))
+    df = df.withColumn(repeats_, F.size(windows_) > F.size(F.array_distinct(windows_)))
     # (hash, position) pairs in order; a window repeats if a neighbour has its hash
-    pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_pairs", F.when(F.col("_repeats"), pairs))
-    m = F.size("_pairs")
+    pairs = F.sort_array(F.transform(windows_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn(pairs_, F.when(F.col(repeats_), pairs))
+    m = F.size(pairs_)
     shifted = F.arrays_zip(
-        F.col("_pairs").alias("p"),
-        F.concat(F.array(F.lit(None).cast("bigint")), F.slice(F.col("_pairs.h"), F.lit(1), m - 1)).alias("before"),
-        F.slice(F.col("_pairs.h"), F.lit(2), m - 1).alias("after"),
+        F.col(pairs_).alias("p"),
+        F.concat(F.array(F.lit(None).cast("bigint")), F.slice(F.col(f"{pairs_}.h"), F.lit(1), m - 1)).alias("before"),
+        F.slice(F.col(f"{pairs_}.h"), F.lit(2), m - 1).alias("after"),
     )
     hits = F.sort_array(
         F.transform(
@@ -107,22 +114,22 @@ def rule_columns(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> Da
             lambda s: s["p"]["i"],
         )
     )
-    df = df.withColumn("_hits", F.when(F.col("_repeats"), hits))
-    k = F.size("_hits")
+    df = df.withColumn(hits_, F.when(F.col(repeats_), hits))
+    k = F.size(hits_)
     covered = F.aggregate(
-        F.zip_with(F.slice("_hits", F.lit(1), k - 1), F.slice("_hits", F.lit(2), k - 1), lambda a, b: F.least(b - a, F.lit(3))),
+        F.zip_with(F.slice(hits_, F.lit(1), k - 1), F.slice(hits_, F.lit(2), k - 1), lambda a, b: F.least(b - a, F.lit(3))),
         F.lit(3).cast("bigint"),
         lambda s, x: s + x,
     )
     df = (
-        df.withColumn("n_words", F.size("_words").cast("long"))
+        df.withColumn("n_words", F.size(words_).cast("long"))
         .withColumn("n_symbols", (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long"))
-        .withColumn("n_repeat_words", F.when(F.col("_repeats"), covered).otherwise(F.lit(0)).cast("long"))
+        .withColumn("n_repeat_words", F.when(F.col(repeats_), covered).otherwise(F.lit(0)).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     )
     df = with_line_verdict(df, text, max_lost)
     df = df.withColumn("kept", ~F.col("base_failed") & F.col("kept_by_lines"))
-    return df.drop("_words", "_windows", "_repeats", "_pairs", "_hits")
+    return df.drop(words_, windows_, repeats_, pairs_, hits_)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -187,3 +187,22 @@ def test_language_model_of_awkward_rows(awkward):
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
     assert hmm.score(df.where(F.lit(False)), rounds=1).count() == 0
     assert hmm.score(df.withColumn("held", F.lit(True)), rounds=1).where("n_known > 0").count() == 0
+
+
+def test_printed_fingerprints_tell_likeness(spark):
+    parts = [f"Paragraph number {k} says something of its own." for k in range(60)]
+    texts = [" ".join(parts), " ".join(parts[:55] + ["Another one here."]), " ".join(p.upper() for p in parts), ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    printed = {r["doc_id"]: r["fingerprint"] for r in iblt.fingerprints(df).collect()}
+    pairs = [(0, 0), (0, 1), (0, 2), (3, 3)]
+    rows = spark.createDataFrame([(k, printed[a], printed[b]) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    got = {r["k"]: r["s"] for r in rows.select("k", iblt.compared(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert got[0] == got[3] == 1.0 and abs(got[1] - 55 / 61) < 1e-9 and got[2] is None
+
+
+def test_other_columns_pass_the_rules_untouched(spark):
+    from lamina.llm import quality_rules
+
+    df = spark.createDataFrame([("a b c a b c", 7, "x")], "text string, _words int, _facts string")
+    row = quality_rules.rule_columns(df).first()
+    assert row["_words"] == 7 and row["_facts"] == "x" and row["n_words"] == 6 and row["n_repeat_words"] == 6
