@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean() -> None:
+    """Gives back what earlier tasks of a reused Python worker left, before a task with much text begins."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it while ``df`` has such a column in any case."""
     taken = {c.lower() for c in df.columns}

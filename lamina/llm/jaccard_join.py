@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import staged
+from lamina.llm.common import lean, staged
 from lamina.operators.connectivity import spanning_stars
 from lamina.sources.staging import discard
 
@@ -169,6 +169,7 @@ def shingle_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, node, need, signatures) of (doc_id, text); a task signs a set that it has seen before only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         known, signer, seen = _Words(), Signer(percent), set()
         none = [0, 0], np.zeros(0, np.uint64)
         for batch in batches:

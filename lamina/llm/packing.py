@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import staged
-from lamina.llm.tokenizing import encoder_for
+from lamina.llm.common import lean, staged
+from lamina.llm.tokenizing import SLICE_ROWS, encoder_for
 
 #: Items one task packs, about.
 TASK_ITEMS = 50_000
@@ -36,18 +36,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
     """Pieces of at most ``size`` ids of each document with its end id; only longer documents are cut.  ``with_ids`` adds the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         encoder = encoder_for(tokenizer_path)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for batch in batches:
-            out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), size)):
-                    part = ids[at : at + size]
-                    out.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), *([part.tolist()] if with_ids else [])))
-            columns = list(zip(*out, strict=True)) if out else [[]] * (6 if with_ids else 5)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names[: len(columns)])
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(first, SLICE_ROWS)
+                out: list[tuple] = []
+                for doc, ids in zip(rows.column(0).to_pylist(), encoder.encode_all(rows.column(1).to_pylist()), strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    for k, at in enumerate(range(0, len(ids), size)):
+                        part = ids[at : at + size]
+                        out.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), *([part.tolist()] if with_ids else [])))
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names[: len(columns)])
 
     return docs.select(F.col(id_column).cast("long"), text).mapInArrow(run, _PIECES + (", ids array<long>" if with_ids else ""))
 

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lamina.llm.common import new_path, staged
-from lamina.llm.tokenizing import encoder_for
+from lamina.llm.common import lean, new_path, staged
+from lamina.llm.tokenizing import SLICE_ROWS, encoder_for
 from lamina.llm.warc import _filesystem
 
 MAGIC = b"LTOK0001"
@@ -64,12 +64,15 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_column:
     """(doc_id, n_tokens, ids): the ids of each text and the end id, as little-endian unsigned 16 or 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         encoder = encoder_for(tokenizer_path)
         kind = _kind(max(encoder.size, end_id + 1))
         for batch in batches:
-            found = [np.append(x, np.uint32(end_id)).astype(kind) for x in encoder.encode_all(batch.column(1).to_pylist())]
-            counts = pa.array([len(x) for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(first, SLICE_ROWS)
+                found = [np.append(x, np.uint32(end_id)).astype(kind) for x in encoder.encode_all(rows.column(1).to_pylist())]
+                counts = pa.array([len(x) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column(0), counts, pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_column).cast("long"), text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 

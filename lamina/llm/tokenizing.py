@@ -21,9 +21,10 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks after which a worker begins its memory anew, after one more slice of text at most.
-REMEMBERED = 400_000
-#: Characters taken at a time.
+REMEMBERED = 250_000
+#: Characters, and rows of a batch, taken at a time.
 SLICE = 500_000
+SLICE_ROWS = 500
 
 #: Chunks that stay when the memory begins anew: the first ones, as frequent ones come up early.
 KEPT = 60_000

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import lean
+
 #: Labelled documents sampled for training and the longest text among them.
 SAMPLE_DOCS = 6000
 SAMPLE_CHARS = 20_000
@@ -35,7 +37,7 @@ LANDMARKS = 48
 #: Length of subsequences, weight of each character they span, least share of a landmark's own kernel that counts.
 LENGTH, DECAY, LEAST = 4, 0.7, 0.3
 WIDEST = 28
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _EDGE = ".,;:!?|%#*$&\"'()[]{}<>«»„“”…-_~"
 _SENTENCES = re.compile(r"[.!?\n]+(?:\s|$)|\n+")
 _DOTTED = re.compile(r"(?:[^\W_][\W_]+){2,}[^\W_]")
@@ -290,7 +292,8 @@ def score(scorer: Scorer, text: Column) -> Column:
     """The probability that a text is toxic."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lean()
         for batch in batches:
-            yield pd.Series(scorer.scores(batch.tolist()))
+            yield pd.Series(np.concatenate([np.zeros(0), *(scorer.scores(batch.iloc[at : at + 500].tolist()) for at in range(0, len(batch), 500))]))
 
     return F.pandas_udf(run, "double")(text)
