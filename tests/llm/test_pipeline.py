@@ -57,3 +57,19 @@ def test_awkward_rows_pass_every_stage(spark, sf_dir, awkward):
         assert k == 4 or d.columns == awkward.columns
         empty = stage(spark, awkward.where(F.lit(False)), sf_dir)
         assert empty.count() == 0
+
+
+def test_mixing_where_ids_repeat(spark, sf_dir):
+    rows = [(None if k % 3 else 7, "a word " * (1 + k % 5) + f"{k}", "en", "ab"[k % 4 == 0], 0) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    size = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "ab"}
+    got = corpus_pipeline.mixed(spark, d, sf_dir)
+    assert got.columns == d.columns
+    taken = {s: 0 for s in "ab"}
+    for r in got.collect():
+        taken[r["source"]] += len(r["text"].split())
+    total = sum(size.values())
+    want = {"a": total / 3, "b": total * 2 / 3}
+    if want["b"] > 3 * size["b"]:
+        want = {"b": 3 * size["b"], "a": total - 3 * size["b"]}
+    assert all(abs(taken[s] - want[s]) <= 8 for s in "ab")
