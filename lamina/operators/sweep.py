@@ -75,21 +75,39 @@ def density(a: DataFrame, size: int = TILE) -> DataFrame:
     return tiled(a.select(*g.BOX), size).groupBy("tx", "ty").agg(F.sum(g.area()).alias("area"))
 
 
-def line_runs(segments: DataFrame, first: Column, second: Column, keep: str) -> DataFrame:
-    """Booleans of collinear edges: (line, t0, t1) runs where ``keep`` holds for the segments told apart by two conditions."""
+def chained(runs: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, t0, t1): disjoint runs of a key that touch are one."""
+    along = Window.partitionBy(*key).orderBy("t0")
+    fresh = F.coalesce((F.lag("t1").over(along) < F.col("t0")).cast("int"), F.lit(1))
+    numbered = runs.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*key, "run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("run")
+
+
+def line_runs(segments: DataFrame, first: Column, second: Column, keep: str, span: int | None = None) -> DataFrame:
+    """Booleans of collinear edges: (line, t0, t1) runs where ``keep`` holds for the segments told apart by two conditions.
+
+    With ``span`` lines are cut at its multiples and swept part by part, so a
+    line that holds much of the table is spread over tasks; along the whole
+    line only runs that reach a border are chained, two for each part at most.
+    """
     side = F.when(first, F.lit("a")).when(second, F.lit("b"))
-    marked = segments.withColumn("side", side).where("side IS NOT NULL AND t1 > t0")
-    events = marked.select("line", "side", F.inline(F.array(F.struct(F.col("t0").alias("t"), F.lit(1).alias("d")), F.struct(F.col("t1").alias("t"), F.lit(-1).alias("d")))))
+    marked = segments.withColumn("side", side).where("side IS NOT NULL AND t1 > t0").withColumn("part", F.lit(0).cast("long"))
+    begin = F.col("part") * F.lit(span)
+    if span:
+        marked = marked.withColumn("part", F.explode(F.sequence(F.floor(F.col("t0") / span), F.floor((F.col("t1") - 1) / span))))
+        marked = marked.withColumns({"t0": F.greatest("t0", begin), "t1": F.least("t1", begin + span)})
+    piece = ["line", "part"]
+    events = marked.select(*piece, "side", F.inline(F.array(F.struct(F.col("t0").alias("t"), F.lit(1).alias("d")), F.struct(F.col("t1").alias("t"), F.lit(-1).alias("d")))))
     change = lambda s: F.sum(F.when(F.col("side") == s, F.col("d")).otherwise(0))
-    steps = events.groupBy("line", "t").agg(change("a").alias("da"), change("b").alias("db"))
-    along = Window.partitionBy("line").orderBy("t")
+    steps = events.groupBy(*piece, "t").agg(change("a").alias("da"), change("b").alias("db"))
+    along = Window.partitionBy(*piece).orderBy("t")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    wraps = steps.select("line", F.col("t").alias("t0"), F.lead("t").over(along).alias("t1"), F.sum("da").over(upto).alias("a"), F.sum("db").over(upto).alias("b"))
-    kept = wraps.where(OPERATIONS[keep](F.col("a"), F.col("b")) & F.col("t1").isNotNull())
-    along = Window.partitionBy("line").orderBy("t0")
-    fresh = F.coalesce((F.lag("t1").over(along) < F.col("t0")).cast("int"), F.lit(1))
-    chained = kept.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return chained.groupBy("line", "run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("run")
+    wraps = steps.select(*piece, F.col("t").alias("t0"), F.lead("t").over(along).alias("t1"), F.sum("da").over(upto).alias("a"), F.sum("db").over(upto).alias("b"))
+    found = chained(wraps.where(OPERATIONS[keep](F.col("a"), F.col("b")) & F.col("t1").isNotNull()).select(*piece, "t0", "t1"), piece)
+    if span:
+        border = (F.col("t0") == begin) | (F.col("t1") == begin + span)
+        found = chained(found.withColumn("part", F.when(~border, F.col("part"))), piece)
+    return found.select("line", "t0", "t1")
 
 
 def swapped(df: DataFrame) -> DataFrame:
@@ -143,8 +161,8 @@ def facing(a: DataFrame, distance: int, inside: bool, tags: tuple[str, ...] = ()
         low, high = F.greatest("y", F.col("ty") * size), F.least("top", F.col("ty") * size + size)
         strips = strips.where(mine).select(*tags, "x0", "x1", low.cast("long").alias("t0"), high.cast("long").alias("t1")).where("t1 > t0")
         line = F.struct(*tags, F.lit(axis).alias("axis"), F.col("x0").alias("first"), F.col("x1").alias("second")).alias("line")
-        chained = line_runs(strips.select(line, F.lit("a").alias("layer"), "t0", "t1"), F.lit(True), F.lit(False), "or").select("line.*", "t0", "t1")
-        found = chained if found is None else found.unionByName(chained)
+        joined = line_runs(strips.select(line, F.lit("a").alias("layer"), "t0", "t1"), F.lit(True), F.lit(False), "or").select("line.*", "t0", "t1")
+        found = joined if found is None else found.unionByName(joined)
     return found
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamina.functions import geometry as g
 from lamina.operators import connectivity, hierarchy, netlist, spatial, sweep
 from lamina.plans.registry import ORACLES, QUERIES, query  # noqa: F401
-from lamina.plans.views import SEGMENTS_SQL, layer, read, rects, segments
+from lamina.plans.views import SEGMENTS_SQL, SPAN, layer, read, rects, segments
 
 BOXES = ["x0", "y0", "x1", "y1"]
 
@@ -156,21 +156,17 @@ def props_ne(spark, sf):
 
 
 ORACLES["props_ne"] = ORACLES["props_ne"].replace("layer = 'R'", "layer = 'N'")
-_EXTENTS = "@ra AS (SELECT id, x0, x1 FROM rects WHERE layer = 'A'), rb AS (SELECT DISTINCT x0, x1 FROM rects WHERE layer = 'R')"
+_EXACT = "SELECT 1 FROM rects b WHERE b.layer = 'R' AND (b.x0, b.y0, b.x1, b.y1) = (a.x0, a.y0, a.x1, a.y1)"
 
 
-def _on_x_axis(df: DataFrame) -> DataFrame:
-    return df.select("id", "x0", F.lit(0).alias("y0"), "x1", F.lit(1).alias("y1"))
-
-
-@query(_EXTENTS + " SELECT id FROM ra SEMI JOIN rb USING (x0, x1)")
+@query(f"SELECT id FROM rects a WHERE layer = 'A' AND EXISTS ({_EXACT})")
 def rg_in(spark, sf):
-    return spatial.members(_on_x_axis(layer(spark, sf, "A")), _on_x_axis(layer(spark, sf, "R"))).select("id")
+    return spatial.members(layer(spark, sf, "A"), layer(spark, sf, "R")).select("id")
 
 
-@query(_EXTENTS + " SELECT id FROM ra ANTI JOIN rb USING (x0, x1)")
+@query(f"SELECT id FROM rects a WHERE layer = 'A' AND NOT EXISTS ({_EXACT})")
 def rg_not_in(spark, sf):
-    return spatial.members(_on_x_axis(layer(spark, sf, "A")), _on_x_axis(layer(spark, sf, "R")), invert=True).select("id")
+    return spatial.members(layer(spark, sf, "A"), layer(spark, sf, "R"), invert=True).select("id")
 
 
 # ---------------------------------------------------------------- booleans, density
@@ -232,7 +228,7 @@ def _edges(spark, sf, keep: str) -> DataFrame:
     own = segments(spark, sf)
     first = F.col("layer").isin("click", "view")
     shifted = own.where("layer = 'click'").select("line", F.lit("shifted").alias("layer"), (F.col("t0") + 300).alias("t0"), (F.col("t1") + 300).alias("t1"))
-    return sweep.line_runs(own.unionByName(shifted), first, ~first, keep).groupBy("line").agg(F.sum(F.col("t1") - F.col("t0")).alias("length"))
+    return sweep.line_runs(own.unionByName(shifted), first, ~first, keep, SPAN).groupBy("line").agg(F.sum(F.col("t1") - F.col("t0")).alias("length"))
 
 
 @query(_edge_sql("a > 0 AND b > 0"), views=SEGMENTS_SQL)
@@ -285,14 +281,14 @@ def chk_enclosing(spark, sf):
     return spatial.enclosure_pairs(layer(spark, sf, "A"), layer(spark, sf, "R"), 3)
 
 
-@query("SELECT id FROM rects WHERE x0 % 5 <> 0 OR y0 % 2 <> 0")
+@query("SELECT id FROM rects WHERE x0 % 5 <> 0 OR x1 % 5 <> 0 OR y0 % 2 <> 0 OR y1 % 2 <> 0")
 def chk_grid(spark, sf):
-    return rects(spark, sf).where(g.off_grid(F.col("x0"), 5) | g.off_grid(F.col("y0"), 2)).select("id")
+    return rects(spark, sf).where(g.off_grid(F.col("x0"), 5) | g.off_grid(F.col("x1"), 5) | g.off_grid(F.col("y0"), 2) | g.off_grid(F.col("y1"), 2)).select("id")
 
 
-@query("SELECT id, CAST(floor((2 * x0 + 5) / 10.0) * 5 AS INTEGER) AS x0, CAST(floor((2 * y0 + 5) / 10.0) * 5 AS INTEGER) AS y0 FROM rects")
+@query("SELECT id, " + ", ".join(f"CAST(floor((2 * {c} + 5) / 10.0) * 5 AS INTEGER) AS {c}" for c in BOXES) + " FROM rects")
 def rg_snapped(spark, sf):
-    return rects(spark, sf).select("id", g.snapped(F.col("x0"), 5).alias("x0"), g.snapped(F.col("y0"), 5).alias("y0"))
+    return rects(spark, sf).select("id", *[g.snapped(F.col(c), 5).alias(c) for c in BOXES])
 
 
 @query("SELECT id, -y1 AS x0, x0 AS y0, -y0 AS x1, x1 AS y1 FROM rects")
@@ -339,10 +335,14 @@ def antenna(spark, sf):
     return connectivity.antenna(connectivity.connected_nets(shapes, [("A", "R")]), "A", "R", 2)
 
 
-@query("SELECT side, x0, y0, count(*) AS shapes FROM (SELECT 'a' AS side, x0, y0 FROM (SELECT x0, y0 FROM rects WHERE layer = 'A' EXCEPT ALL SELECT x0, y0 FROM rects WHERE layer = 'R') UNION ALL SELECT 'b', x0, y0 FROM (SELECT x0, y0 FROM rects WHERE layer = 'R' EXCEPT ALL SELECT x0, y0 FROM rects WHERE layer = 'A')) GROUP BY 1, 2, 3")
+_PLACE = "SELECT x0, y0, x1, y1, pid FROM rects WHERE layer = "
+
+
+@query(f"""SELECT side, x0, y0, x1, y1, pid, count(*) AS shapes FROM (SELECT 'a' AS side, * FROM ({_PLACE}'A' EXCEPT ALL {_PLACE}'R')
+       UNION ALL SELECT 'b', * FROM ({_PLACE}'R' EXCEPT ALL {_PLACE}'A')) GROUP BY ALL""")
 def layout_diff(spark, sf):
-    place = lambda name: layer(spark, sf, name).select("x0", "y0")
-    return netlist.difference(place("A"), place("R")).groupBy("side", "x0", "y0").agg(F.count("*").alias("shapes"))
+    place = lambda name: layer(spark, sf, name).select(*BOXES, "pid")
+    return netlist.difference(place("A"), place("R")).groupBy("side", *BOXES, "pid").agg(F.count("*").alias("shapes"))
 
 
 def _devices(spark, sf) -> DataFrame:

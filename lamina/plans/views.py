@@ -54,10 +54,22 @@ def polys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rects(spark, sf_dir).select("id", "layer", pts.alias("pts"))
 
 
+#: Seconds after which a line of events is cut, so that no task orders a whole line.
+SPAN = 7 * 86_400
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line, layer, t0, t1): an edge from each event of a user to the next one, in whole seconds."""
+    """(line, layer, t0, t1): an edge from each event of a user to the next one, in whole seconds.
+
+    Events are ordered within a week; the last of a week looks up the first of the next week with any.
+    """
     from pyspark.sql import Window
 
     t0 = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("line"), F.col("event_type").alias("layer"), t0.alias("t0"), "event_id")
-    return events.withColumn("t1", F.lead("t0").over(Window.partitionBy("line").orderBy("t0", "event_id"))).drop("event_id")
+    events = events.withColumn("part", F.floor(F.col("t0") / SPAN))
+    firsts = events.groupBy(F.col("line").alias("of"), F.col("part").alias("week")).agg(F.min("t0").alias("begins"))
+    firsts = firsts.withColumn("later", F.lead("begins").over(Window.partitionBy("of").orderBy("week")))
+    inner = events.withColumn("t1", F.lead("t0").over(Window.partitionBy("line", "part").orderBy("t0", "event_id")))
+    both = inner.join(firsts, F.col("line").eqNullSafe(F.col("of")) & F.col("part").eqNullSafe(F.col("week")))
+    return both.select("line", "layer", "t0", F.coalesce("t1", "later").alias("t1"))

@@ -1,5 +1,7 @@
 """Literal micro-cases of the geometry functions and operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,12 @@ def test_compare_statuses(spark):
     b = spark.createDataFrame([("p", 6), ("q", 2), ("s", 1)], "net string, n int")
     got = {r["net"]: r["status"] for r in netlist.compare(a, b, "net", ["n"], 1).collect()}
     assert got == {"p": "Match", "q": "Mismatch", "r": "NoMatch", "s": "NoMatch"}
+
+
+def test_cut_lines_give_the_same_runs(spark):
+    rng = random.Random(5)
+    rows = [(None if k % 9 == 0 else k % 3, "ab"[k % 2], t := rng.randrange(-200, 400), t + rng.randrange(0, 90)) for k in range(90)]
+    edges = spark.createDataFrame(rows, "line long, layer string, t0 long, t1 long")
+    for keep in sweep.OPERATIONS:
+        whole, cut = (sorted(map(repr, sweep.line_runs(edges, F.col("layer") == "a", F.col("layer") == "b", keep, span).collect())) for span in (None, 50))
+        assert whole == cut and whole
