@@ -31,7 +31,8 @@ KEPT = 60_000
 
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 #: A sign after a letter or digit at a word's end, which is a pre-token of its own.
-_TAIL = re.compile(r"([.,;:!?])(?=[ \n]|$)(?<=[^\W_].)")
+#: Lower case turns a dotted capital I into a letter and a combining mark, which joins the sign, so there it stays.
+_TAIL = re.compile(r"([.,;:!?])(?=[ \n]|$)(?<=[^\W_İ].)")
 #: Marks before a chunk's name: at the start of a line, a sign at a word's end, with space inside.
 _START, _SIGN, _WIDE = "\n", "\x01", "\x02"
 

@@ -146,3 +146,12 @@ def test_foreign_archives(spark, tmp_path):
     for r in rows:
         k = int(r["target_uri"][1:])
         assert r["n"] == len(b"body%d" % k) * (1 + 5000 * (k % 3))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_letters_whose_lower_case_is_longer_keep_their_ids_before_signs(name):
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).lower()) > 1] + ["ß", "ŉ", "é", "ǰ"]
+    texts = [f"{lead}{c}{sign}{tail}" for c in odd for sign in ".,;:!?" for lead in ("", "Bu iş B", "a ") for tail in ("", " Sonra b", "\nb")]
+    library = Tokenizer.from_file(public_path(name))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in ChunkEncoder(public_path(name)).encode_all(texts)] == want
