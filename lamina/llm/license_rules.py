@@ -42,8 +42,8 @@ NAMES = (
     ("bsd", "bsd~", "bsd(?: style)?"),
     ("isc", "isc~", "isc"),
     ("zlib", "zlib~", "zlib(?: libpng)?"),
-    ("libpng", "libpng~", "libpng(?: 2 0)?"),
-    ("boost-1", "boost~|bsl 1|boost software", "(?:boost(?: software)?(?: license)?(?: version)?(?: 1(?: 0)?)?|bsl 1(?: 0)?)"),
+    ("libpng", "libpng", "libpng(?: 2 0)?"),
+    ("boost-1", "boost|bsl 1", "(?:boost(?: software)?(?: license)?(?: version)?(?: 1(?: 0)?)?|bsl 1(?: 0)?)"),
     ("gpl-1", "gpl|general public", "(?:gnu )?(?:gpl|general public licen[sc]e)(?: version| v)? ?v?1(?: 0)?"),
     ("gpl-2", "gpl|general public", "(?:gnu )?(?:gpl|general public licen[sc]e)(?: version| v)? ?v?2(?: 0)?(?: only)?"),
     ("gpl-2-or-later", "gpl|general public", "(?:gnu )?(?:gpl|general public licen[sc]e)(?: version| v)? ?v?2(?: 0)?(?: or(?: at your option)?(?: any)? later(?: version)?)"),
@@ -72,13 +72,13 @@ NAMES = (
     ("artistic-1", "artistic", "artistic(?: license)?(?: version)? 1(?: 0)?"),
     ("artistic-2", "artistic", "artistic(?: license)?(?: version)? 2(?: 0)?"),
     ("artistic", "artistic~", "artistic"),
-    ("perl", "same terms as perl|perl~", "perl(?: 5)?"),
-    ("python-2", "python software foundation|psf~", "(?:python software foundation|psf)(?: license)?(?: version)?(?: 2(?: 0)?)?"),
+    ("perl", "perl~", "perl(?: 5)?"),
+    ("python-2", "python software foundation|psf", "(?:python software foundation|psf)(?: license)?(?: version)?(?: 2(?: 0)?)?"),
     ("ruby", "ruby~", "ruby"),
-    ("php-3", "php~", "php(?: license)?(?: version)?(?: 3(?: 01| 0)?)?"),
+    ("php-3", "php", "php(?: license)?(?: version)?(?: 3(?: 01| 0)?)?"),
     ("openssl", "openssl~", "openssl"),
     ("postgresql", "postgresql~", "postgresql"),
-    ("ncsa", "ncsa~|illinois ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
+    ("ncsa", "ncsa~|university of illinois ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl|do what the fuck", "(?:wtfpl|do what the fuck you want to public)"),
     ("beerware", "beerware|beer ware", "beer ?ware"),
@@ -90,8 +90,8 @@ NAMES = (
     ("upl-1", "universal permissive", "universal permissive(?: license)?(?: version| v)?(?: 1 0)?"),
     ("vim", "vim~", "vim"),
     ("x11", "x11~", "x11"),
-    ("w3c", "w3c~|w3c software", "w3c(?: software)?(?: notice and)?"),
-    ("unicode", "unicode~|unicode inc license", "unicode(?: inc)?"),
+    ("w3c", "w3c~|w3c software|w3c notice", "w3c(?: software)?(?: notice and)?"),
+    ("unicode", "unicode", "unicode(?: inc)?"),
     ("curl", "curl~", "curl"),
     ("busl-1", "business source|busl", "(?:busl|business source licen[sc]e)(?: version| v)?(?: 1 1)?"),
     ("sspl-1", "sspl|server side public", "(?:sspl|server side public licen[sc]e)(?: version| v)?(?: 1(?: 0)?)?"),
