@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
 from lamina.functions import shapes as s
-from lamina.operators import hierarchy, spatial, sweep
+from lamina.operators import contours, hierarchy, spatial, sweep
 from lamina.plans.registry import ORACLES, QUERIES, query
 from lamina.plans.views import layer, polys, read, rects
 from lamina.sources import gds_text, report_db
-from lamina.sources.staging import new_path
+from lamina.sources.staging import new_path, staged
 
 _POLYS = """@polys AS (SELECT id, layer, CASE
     WHEN (x1 - x0) % 3 = 0 AND x1 - x0 >= 2 AND y1 - y0 >= 2 THEN [{'x': x0, 'y': y0}, {'x': x0, 'y': y1}, {'x': x0 + (x1 - x0) // 2, 'y': y1}, {'x': x0 + (x1 - x0) // 2, 'y': y0 + (y1 - y0) // 2}, {'x': x1, 'y': y0 + (y1 - y0) // 2}, {'x': x1, 'y': y0}]
@@ -236,6 +236,48 @@ def merged_perimeter(spark, sf):
     return _outline(spark, sf).groupBy("layer").agg(F.count("*").alias("edges"), F.sum(F.col("t1") - F.col("t0")).alias("perimeter"))
 
 
+_WALKS = """RECURSIVE """ + _OUTLINE + """, sides AS (
+    SELECT layer, axis, side, pos, t0, t1, (axis = 'y') = (side = -1) AS rising, axis = 'y' AS up FROM outline),
+  ends AS (SELECT row_number() OVER (ORDER BY layer, axis, pos, side, t0) AS e, *, CASE WHEN up THEN pos WHEN rising THEN t0 ELSE t1 END AS x1, CASE WHEN NOT up THEN pos WHEN rising THEN t0 ELSE t1 END AS y1,
+      CASE WHEN up THEN pos WHEN rising THEN t1 ELSE t0 END AS x2, CASE WHEN NOT up THEN pos WHEN rising THEN t1 ELSE t0 END AS y2 FROM sides),
+  turns AS (SELECT a.*, b.e AS follows, b.x1 AS fx, b.y1 AS fy, row_number() OVER (PARTITION BY a.e ORDER BY (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) DESC) AS choice
+      FROM ends a JOIN ends b ON a.layer = b.layer AND a.x2 = b.x1 AND a.y2 = b.y1),
+  steps AS (SELECT * FROM turns WHERE choice = 1),
+  walks AS (SELECT e AS head, e AS at, 0 AS position, y1 AS hy, x1 AS hx FROM steps
+      UNION ALL SELECT w.head, s.follows, w.position + 1, hy, hx FROM walks w JOIN steps s ON s.e = w.at WHERE s.follows <> w.head AND (s.fy, s.fx) > (w.hy, w.hx)),
+  whole AS (SELECT w.head FROM walks w JOIN steps s ON s.e = w.at WHERE s.follows = w.head),
+  rings AS (SELECT w.head AS ring, w.position, s.* FROM walks w JOIN whole USING (head) JOIN steps s ON s.e = w.at),
+  sums AS (SELECT layer, ring, min(x1) AS x0, min(y1) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_points, sum(t1 - t0) AS perimeter, sum(x1 * y2 - x2 * y1) AS twice,
+      min(CASE WHEN up THEN (pos, t0) END) AS wall FROM rings GROUP BY layer, ring)"""
+
+
+def _rings(spark, sf) -> DataFrame:
+    return contours.rings(rects(spark, sf), ("layer",))
+
+
+@query(_WALKS + " SELECT layer, CAST(first_value(x1) OVER o AS BIGINT) AS first_x, CAST(first_value(y1) OVER o AS BIGINT) AS first_y, CAST(position AS BIGINT) AS position, CAST(x1 AS BIGINT) AS x, CAST(y1 AS BIGINT) AS y FROM rings WINDOW o AS (PARTITION BY ring ORDER BY position)")
+def merged_corners(spark, sf):
+    """Corners of the merged polygons of every layer in the order of their contours, hulls clockwise and holes the other way."""
+    ringed = contours.corners(_rings(spark, sf), ("layer",))
+    first = ringed.where("position = 0").select("ring", F.col("x").alias("first_x"), F.col("y").alias("first_y"))
+    return ringed.join(first, "ring").drop("ring")
+
+
+@query(
+    _WALKS + """, within AS (SELECT h.ring, r.ring AS hull, count(*) AS crossed FROM sums h JOIN rings r ON r.layer = h.layer AND r.up AND r.pos < h.wall[1] + 1 AND r.t0 <= h.wall[2] AND h.wall[2] < r.t1
+        WHERE h.twice > 0 GROUP BY h.ring, r.ring),
+      inside AS (SELECT w.ring, arg_min(w.hull, abs(s.twice)) AS hull FROM within w JOIN sums s ON s.ring = w.hull WHERE w.crossed % 2 = 1 AND s.twice < 0 GROUP BY w.ring)
+      SELECT s.layer, s.twice > 0 AS hole, CAST(s.x0 AS BIGINT) AS x0, CAST(s.y0 AS BIGINT) AS y0, CAST(s.x1 AS BIGINT) AS x1, CAST(s.y1 AS BIGINT) AS y1, s.n_points, CAST(s.perimeter AS BIGINT) AS perimeter,
+        CAST(abs(s.twice) // 2 AS BIGINT) AS area, CAST(h.x0 AS BIGINT) AS hull_x0, CAST(h.y0 AS BIGINT) AS hull_y0, CAST(abs(h.twice) // 2 AS BIGINT) AS hull_area
+      FROM sums s LEFT JOIN inside i ON i.ring = s.ring JOIN sums h ON h.ring = coalesce(i.hull, s.ring)"""
+)
+def merged_polygons(spark, sf):
+    """Hulls and holes of the merged polygons of every layer, each hole with the hull it is cut from."""
+    found = staged(contours.polygons(_rings(spark, sf), ("layer",)), "polygons")
+    hulls = found.where("ring = hull").select("hull", F.col("x0").alias("hull_x0"), F.col("y0").alias("hull_y0"), F.col("area").alias("hull_area"))
+    return found.join(hulls, "hull").drop("ring", "hull")
+
+
 _STRIPS = _CELLS + """, lines AS (SELECT layer, 'y' AS axis, y AS t, x AS u FROM cells UNION ALL SELECT layer, 'x', x, y FROM cells),
   spans AS (SELECT layer, axis, t, min(u) AS a, max(u) + 1 AS b FROM (SELECT *, u - row_number() OVER (PARTITION BY layer, axis, t ORDER BY u) AS island FROM lines) GROUP BY layer, axis, t, island),
   gaps AS (SELECT layer, axis, t, b AS a, lead(a) OVER (PARTITION BY layer, axis, t ORDER BY a) AS b FROM spans)"""
