@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
 from lamina.functions import shapes as s
-from lamina.operators import contours, hierarchy, spatial, sweep
+from lamina.operators import contours, hierarchy, spatial, sweep, trapezoids
 from lamina.plans.registry import ORACLES, QUERIES, query
 from lamina.plans.views import layer, polys, read, rects
 from lamina.sources import gds_text, report_db
@@ -315,6 +315,27 @@ def ep_polygons(spark, sf):
 _TILE = "SELECT CAST(x // 256 AS INTEGER) AS tx, CAST(y // 256 AS INTEGER) AS ty, count(*) AS area FROM"
 
 
+_INSIDE = """@dots AS (SELECT DISTINCT layer, i, j FROM (SELECT *, x0 + (x1 - x0) // 2 AS xm, y0 + (y1 - y0) // 2 AS ym, i + 0.3711037::DOUBLE AS x, j + 0.4138291::DOUBLE AS y
+      FROM (SELECT *, unnest(range(y0, y1)) AS j FROM (SELECT *, unnest(range(x0, x1)) AS i FROM rects)))
+    WHERE CASE WHEN (x1 - x0) % 3 = 0 AND x1 - x0 >= 2 AND y1 - y0 >= 2 THEN x < xm OR y < ym WHEN (x1 - x0) % 3 = 1 THEN (x - x0) / (x1 - x0) + (y - y0) / (y1 - y0) < 1 ELSE true END),
+  pairs AS (SELECT * FROM (VALUES ('A', 'N'), ('A', 'R'), ('N', 'R')) v(first, second)),
+  covers AS (SELECT first, second, i, j, bool_or(layer = first) AS a, bool_or(layer = second) AS b FROM dots JOIN pairs ON layer = first OR layer = second GROUP BY ALL)"""
+
+
+@query(
+    _INSIDE + """ SELECT first, second, CAST(i // 256 AS BIGINT) AS cx, CAST(j // 256 AS BIGINT) AS cy, count(*) FILTER (WHERE a AND b) AS n_and, count(*) FILTER (WHERE a AND NOT b) AS n_not, count(*) FILTER (WHERE a <> b) AS n_xor, count(*) AS n_or
+      FROM covers GROUP BY 1, 2, 3, 4"""
+)
+def poly_booleans(spark, sf):
+    """And, not, xor, or of the polygons of each two layers, as lattice points inside the trapezoids of each region of 256 by 256."""
+    pairs = F.array(*[F.struct(F.lit(p).alias("first"), F.lit(q).alias("second")) for p, q in (("A", "N"), ("A", "R"), ("N", "R"))])
+    both = polys(spark, sf).select("layer", "pts", F.inline(pairs)).withColumn("side", F.when(F.col("layer") == F.col("first"), "a").when(F.col("layer") == F.col("second"), "b"))
+    found = trapezoids.trapezoids(both.where("side IS NOT NULL"), (F.col("a") + F.col("b")) > 0, ("first", "second"), ("a", "b"))
+    region = [F.floor(F.col("tx") * trapezoids.SIDE / 256).alias("cx"), F.floor(F.col("ty") * trapezoids.SIDE / 256).alias("cy")]
+    sums = [F.sum(F.when(sweep.OPERATIONS[k](F.col("a"), F.col("b")), F.col("points")).otherwise(0)).alias(f"n_{k}") for k in ("and", "not", "xor", "or")]
+    return trapezoids.lattice_rows(found, 0.3711037, 0.4138291).groupBy("first", "second", *region).agg(*sums)
+
+
 @query("SELECT CAST(floor(x / 256.0) AS INTEGER) AS tx, CAST(floor(y / 256.0) AS INTEGER) AS ty, count(*) AS area FROM (SELECT DISTINCT x, y FROM (SELECT x, unnest(range(y0 - 2, y1 + 2)) AS y FROM (SELECT y0, y1, unnest(range(x0 - 2, x1 + 2)) AS x FROM rects))) GROUP BY 1, 2")
 def sized_area(spark, sf):
     """All layers merged and grown by 2."""
