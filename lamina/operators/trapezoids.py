@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import shapes as s
 from lamina.operators.sweep import OPERATIONS
+from lamina.sources.staging import staged
 
 #: Side of a tile; a usual shape meets one or two, and crossings cut the slabs of their own tile only.
 SIDE = 32
@@ -90,7 +91,7 @@ def trapezoids(polygons: DataFrame, keep: Column | str, tags: tuple[str, ...] =
     Polygons without area give nothing.
     """
     tile = [*tags, "tx", "ty"]
-    pieces = edge_pieces(polygons, tags, size)
+    pieces = staged(edge_pieces(polygons, tags, size), "edge-pieces")
     heights = pieces.select(*tile, F.explode(F.array("lo", "hi")).alias("y")).unionByName(crossings(pieces, tile)).distinct()
     slabs = heights.withColumn("top", F.lead("y").over(Window.partitionBy(*tile).orderBy("y"))).where("top IS NOT NULL")
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in tile]
