@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
 from lamina.functions import shapes as s
-from lamina.operators import contours, hierarchy, spatial, sweep, trapezoids
+from lamina.operators import contours, edge_region, hierarchy, spatial, sweep, trapezoids
 from lamina.plans.registry import ORACLES, QUERIES, query
 from lamina.plans.views import layer, polys, read, rects
 from lamina.sources import gds_text, report_db
@@ -336,6 +336,26 @@ def poly_booleans(spark, sf):
     return trapezoids.lattice_rows(found, 0.3711037, 0.4138291).groupBy("first", "second", *region).agg(*sums)
 
 
+@query(
+    _CELLS + """, units AS (SELECT id, layer, x, y0 AS y, true AS level FROM (SELECT *, unnest(range(x0, x1)) AS x FROM rects) UNION ALL SELECT id, layer, x, y1, true FROM (SELECT *, unnest(range(x0, x1)) AS x FROM rects)
+      UNION ALL SELECT id, layer, x0, y, false FROM (SELECT *, unnest(range(y0, y1)) AS y FROM rects) UNION ALL SELECT id, layer, x1, y, false FROM (SELECT *, unnest(range(y0, y1)) AS y FROM rects)),
+    other AS (SELECT CASE layer WHEN 'N' THEN 'A' WHEN 'R' THEN 'N' ELSE 'R' END AS layer, x, y FROM cells),
+    hands AS (SELECT u.id, u.layer, (c.x IS NOT NULL)::INTEGER + (d.x IS NOT NULL)::INTEGER AS n FROM units u LEFT JOIN other c ON c.layer = u.layer AND c.x = u.x AND c.y = u.y
+      LEFT JOIN other d ON d.layer = u.layer AND d.x = u.x - (NOT u.level)::INTEGER AND d.y = u.y - u.level::INTEGER)
+    SELECT layer, id, count(*) FILTER (WHERE n = 2) AS inside, count(*) FILTER (WHERE n = 1) AS border, count(*) FILTER (WHERE n = 0) AS outside FROM hands GROUP BY layer, id"""
+)
+def edge_region_parts(spark, sf):
+    """How much of each box's edges lies inside, along and outside of the next layer's merged region."""
+    boxes = rects(spark, sf)
+    x0, y0, x1, y1 = g.box()
+    four = F.array(*[F.struct(F.lit(k).alias("k"), *[c.alias(n) for c, n in zip(ends, ("x1", "y1", "x2", "y2"))]) for k, ends in enumerate([(x0, y0, x0, y1), (x0, y1, x1, y1), (x1, y1, x1, y0), (x1, y0, x0, y0)])])
+    edges = boxes.select("layer", F.col("id").alias("box"), F.inline(four)).withColumn("id", F.struct("box", "k"))
+    other = F.when(F.col("layer") == "N", "A").when(F.col("layer") == "R", "N").otherwise("R")
+    region = boxes.select(other.alias("layer"), F.array(s.point(x0, y0), s.point(x0, y1), s.point(x1, y1), s.point(x1, y0)).alias("pts"))
+    sums = [F.round(F.sum(p)).cast("long").alias(p) for p in ("inside", "border", "outside")]
+    return edge_region.edge_lengths(edges, region, ("layer",)).groupBy("layer", F.col("id.box").alias("id")).agg(*sums)
+
+
 @query("SELECT CAST(floor(x / 256.0) AS INTEGER) AS tx, CAST(floor(y / 256.0) AS INTEGER) AS ty, count(*) AS area FROM (SELECT DISTINCT x, y FROM (SELECT x, unnest(range(y0 - 2, y1 + 2)) AS y FROM (SELECT y0, y1, unnest(range(x0 - 2, x1 + 2)) AS x FROM rects))) GROUP BY 1, 2")
 def sized_area(spark, sf):
     """All layers merged and grown by 2."""
