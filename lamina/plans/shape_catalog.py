@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
 from lamina.functions import shapes as s
-from lamina.operators import contours, edge_region, hierarchy, spatial, sweep, trapezoids
+from lamina.operators import cell_scan, contours, edge_region, hierarchy, spatial, sweep, trapezoids
 from lamina.plans.registry import ORACLES, QUERIES, query
 from lamina.plans.views import layer, polys, read, rects
 from lamina.sources import gds_text, report_db
@@ -379,6 +379,61 @@ def bool_andnot_area(spark, sf):
     return both.groupBy("tx", "ty").agg(F.sum(F.when(shared, g.area()).otherwise(0)).alias("both"), F.sum(F.when(~shared, g.area()).otherwise(0)).alias("only"))
 
 
+# ---------------------------------------------------------------- recursive scans
+
+
+def _up(inner: str, x: str, y: str, quarter: str, mirror: str) -> str:
+    """SQL: corners (px, py) and (qx, qy) of ``inner`` in the units of the cell above, where this one stands at x, y."""
+    flip = f"CASE WHEN {mirror} THEN -1 ELSE 1 END"
+    at = lambda c: (
+        f"{x} + CASE {quarter} WHEN 0 THEN {c}x WHEN 1 THEN -{c}y * {flip} WHEN 2 THEN -{c}x ELSE {c}y * {flip} END AS {c}x, {y} + CASE {quarter} WHEN 0 THEN {c}y * {flip} WHEN 1 THEN {c}x WHEN 2 THEN -{c}y * {flip} ELSE -{c}x END AS {c}y"
+    )
+    return f"SELECT * EXCLUDE (px, py, qx, qy), {at('p')}, {at('q')} FROM ({inner})"
+
+
+_IN_REGION = _up("SELECT * FROM {nations}", "(n % 5) * 7000", "(n // 5) * 6000", "n % 4", "n % 3 = 1")
+_ORDERS_SQL = _up(
+    _up(
+        "SELECT c_nationkey AS n, c_custkey AS c, o_orderkey AS o, 4 AS depth, o_orderpriority AS cell, i, 0 AS px, 0 AS py, 2 + CAST(o_orderpriority[1] AS INTEGER) AS qx, 3 AS qy FROM orders JOIN customer ON c_custkey = o_custkey, range(2) r(i) WHERE i <= o_orderkey % 2",
+        "o % 97 + 11 * i", "(o // 97) % 89", "o % 4", "o % 7 = 3",
+    ), "(c * 37) % 5000", "(c * 91) % 4000", "c % 4", "c % 5 = 2",
+)
+_TREE_SQL = _up(
+    "SELECT b.*, n_regionkey AS r FROM (" + _IN_REGION.format(
+        nations="(SELECT n, depth, cell, px, py, qx, qy FROM (" + _ORDERS_SQL + ") UNION ALL SELECT s_nationkey, 2, 'N' || s_nationkey, s_suppkey % 500, s_suppkey % 300, s_suppkey % 500 + 20, s_suppkey % 300 + 10 FROM supplier)"
+    ) + ") b JOIN nation ON n_nationkey = n", "r * 40000", "0", "r % 4", "r % 2 = 1",
+)
+_SCAN_SQL = f"SELECT depth, cell, CAST(least(px, qx) AS BIGINT) AS x0, CAST(least(py, qy) AS BIGINT) AS y0, CAST(greatest(px, qx) AS BIGINT) AS x1, CAST(greatest(py, qy) AS BIGINT) AS y1 FROM ({_TREE_SQL})"
+
+
+def _tree(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Top cell, instances and shapes: regions hold nations, these customers, and these the cells of order priorities; suppliers are boxes of their nation's cell."""
+
+    def instances(rows, parent, child, x, y, key, mirror, na="1"):
+        return rows.selectExpr(f"{parent} AS parent", f"{child} AS child", f"{x} AS x", f"{y} AS y", f"{key} % 4 AS quarter", f"{mirror} AS mirror", f"{na} AS na", "1 AS nb", "11 AS ax", "0 AS ay", "0 AS bx", "0 AS by")
+
+    orders = read(spark, sf, "orders")
+    cells = instances(read(spark, sf, "region"), "'T'", "concat('R', r_regionkey)", "r_regionkey * 40000", "0", "r_regionkey", "r_regionkey % 2 = 1")
+    cells = cells.union(instances(read(spark, sf, "nation"), "concat('R', n_regionkey)", "concat('N', n_nationkey)", "(n_nationkey % 5) * 7000", "(n_nationkey div 5) * 6000", "n_nationkey", "n_nationkey % 3 = 1"))
+    cells = cells.union(instances(read(spark, sf, "customer"), "concat('N', c_nationkey)", "concat('C', c_custkey)", "(c_custkey * 37) % 5000", "(c_custkey * 91) % 4000", "c_custkey", "c_custkey % 5 = 2"))
+    cells = cells.union(instances(orders, "concat('C', o_custkey)", "o_orderpriority", "o_orderkey % 97", "(o_orderkey div 97) % 89", "o_orderkey", "o_orderkey % 7 = 3", "1 + o_orderkey % 2"))
+    shapes = orders.select("o_orderpriority").distinct().selectExpr("o_orderpriority AS cell", "0L AS x0", "0L AS y0", "2L + CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS x1", "3L AS y1")
+    shapes = shapes.union(read(spark, sf, "supplier").selectExpr("concat('N', s_nationkey)", "s_suppkey % 500", "s_suppkey % 300", "s_suppkey % 500 + 20", "s_suppkey % 300 + 10"))
+    return spark.createDataFrame([("T",)], "cell string"), cells, shapes
+
+
+@query(_SCAN_SQL, views="")
+def hier_scan(spark, sf):
+    """All shapes of the tree region, nation, customer, order, and suppliers beside the customers, in the top cell's units."""
+    return cell_scan.scan_shapes(*_tree(spark, sf)).drop("top")
+
+
+@query(f"SELECT * FROM ({_SCAN_SQL}) WHERE depth BETWEEN 3 AND 4 AND x0 <= 45000 AND x1 >= -9000 AND y0 <= 12000 AND y1 >= -20000", views="")
+def hier_scan_confined(spark, sf):
+    """The same scan at depths 3 to 4, confined to a box."""
+    return cell_scan.scan_shapes(*_tree(spark, sf), 3, 4, (-9000, -20000, 45000, 12000)).drop("top")
+
+
 # ---------------------------------------------------------------- selections against merged layers, other shapes
 
 _COVERED = _CELLS + """, own AS (SELECT id, x, unnest(range(y0, y1)) AS y FROM (SELECT id, y0, y1, unnest(range(x0, x1)) AS x FROM rects WHERE layer = 'A')),
