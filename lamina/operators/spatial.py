@@ -71,6 +71,12 @@ def covered_area(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(sums, "id", "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long")))
 
 
+def selected_inside(a: DataFrame, b: DataFrame, invert: bool = False) -> DataFrame:
+    """Shapes of ``a`` inside ``b`` taken as one merged region, or the others; borders count as inside, shapes without area as not."""
+    inside = (F.col("covered") == g.area()) & (F.col("covered") > 0)
+    return covered_area(a, b).where(~inside if invert else inside).drop("covered")
+
+
 def pulled(a: DataFrame, b: DataFrame, mode: str) -> DataFrame:
     """Shapes of ``b`` that are partners of any shape of ``a``."""
     hits = spatial_join(a, b, MODES[mode]()).select(F.col("b.id").alias("id")).distinct()

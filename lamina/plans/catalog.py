@@ -92,7 +92,6 @@ def flt_text_glob(spark, sf):
 
 _MEET = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
 _OVER = "a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
-_IN = "a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1"
 _COVER = "b.x0 >= a.x0 AND b.x1 <= a.x1 AND b.y0 >= a.y0 AND b.y1 <= a.y1"
 
 
@@ -120,9 +119,19 @@ def rg_overlapping(spark, sf):
     return spatial.selected(layer(spark, sf, "A"), layer(spark, sf, "R"), "overlapping").select("id")
 
 
-@query(_pair(_IN) + " SELECT id FROM ra WHERE id IN (SELECT a FROM hits)")
+_COVERED_CELLS = """@ra AS (SELECT * FROM rects WHERE layer = 'A'), own AS (SELECT id, x, unnest(range(y0, y1)) AS y FROM (SELECT id, y0, y1, unnest(range(x0, x1)) AS x FROM ra)),
+  cells AS (SELECT DISTINCT x, unnest(range(y0, y1)) AS y FROM (SELECT y0, y1, unnest(range(x0, x1)) AS x FROM rects WHERE layer = 'R')),
+  uncovered AS (SELECT DISTINCT id FROM own ANTI JOIN cells USING (x, y))"""
+
+
+@query(_COVERED_CELLS + " SELECT id FROM ra WHERE id NOT IN (SELECT id FROM uncovered)")
 def rg_inside(spark, sf):
-    return spatial.selected(layer(spark, sf, "A"), layer(spark, sf, "R"), "inside").select("id")
+    return spatial.selected_inside(layer(spark, sf, "A"), layer(spark, sf, "R")).select("id")
+
+
+@query(_COVERED_CELLS + " SELECT id FROM ra WHERE id IN (SELECT id FROM uncovered)")
+def rg_not_inside(spark, sf):
+    return spatial.selected_inside(layer(spark, sf, "A"), layer(spark, sf, "R"), invert=True).select("id")
 
 
 @query(_pair(_OVER) + " SELECT id FROM ra WHERE id NOT IN (SELECT a FROM hits)")

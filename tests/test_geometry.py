@@ -49,6 +49,13 @@ def test_shared_border_is_inside(spark):
     assert spatial.selected(b, a, "covering").count() == 1
 
 
+def test_inside_two_abutting_boxes(spark):
+    a, b = boxes(spark, (2, 2, 14, 3), (2, 2, 21, 3), (30, 0, 31, 1)), boxes(spark, (0, 0, 10, 10), (10, 0, 20, 10), (0, 0, 10, 10))
+    corner = lambda df: sorted(tuple(r) for r in df.select("x0", "x1").collect())
+    assert corner(spatial.selected_inside(a, b)) == [(2, 14)]
+    assert corner(spatial.selected_inside(a, b, invert=True)) == [(2, 21), (30, 31)]
+
+
 def test_pair_in_many_bins_counts_once(spark):
     a, b = boxes(spark, (-500, -500, 500, 500)), boxes(spark, (-400, -400, 400, 400))
     assert spatial.spatial_join(a, b, g.touches("a", "b"), 0, 64).count() == 1
