@@ -4,6 +4,10 @@ A join by inequalities would compare all pairs.  Both sides are dealt to the
 grid bins they cover instead, joined by bin, and a pair counts only in the bin
 of its lowest common corner, so no duplicates need removing.  A crowded bin is
 an ordinary skewed join key, which adaptive execution splits.
+
+Selections by meeting do not need the pairs, whose number grows with the square
+of the density: ``lattice`` counts the partners of each shape.  Only shapes that
+it cannot hold, and ids that stand for several boxes, go through pairs.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
-from lamina.operators import sweep
+from lamina.operators import lattice, sweep
 
 #: Side of a grid bin, in database units; a few times a usual shape.
 BIN = 64
@@ -43,23 +47,80 @@ MODES = {
 }
 
 
+#: Modes that ``lattice`` counts, and whether it leaves out the upper border.
+MEETING = {"interacting": 0, "overlapping": 1}
+#: Modes seen from the partner.
+TURNED = {"interacting": "interacting", "overlapping": "overlapping", "inside": "covering", "covering": "inside"}
+
+
+def listed_counts(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+    """(id, n) by listing pairs."""
+    return spatial_join(a, b, on).groupBy(F.col("a.id").alias("id")).agg(F.count_distinct("b.id").alias("n"))
+
+
+def met_counts(a: DataFrame, b: DataFrame, mode: str, tag: str | None = None) -> DataFrame:
+    """(id, n): parts that add up to the number of boxes in ``b`` that each shape of ``a`` meets; with ``tag`` of those with the same value of it."""
+    last = MEETING[mode]
+    found = lattice.meetings(a, b, last, tag)
+    if lattice.any_irregular(last, a, b):
+        on = MODES[mode]() if tag is None else MODES[mode]() & (F.col(f"a.{tag}") == F.col(f"b.{tag}"))
+        b_rows = b.withColumn("id", F.monotonically_increasing_id())
+        found = found.unionByName(listed_counts(a.where(lattice.irregular(last)), b_rows, on)).unionByName(listed_counts(a.where(lattice.regular(last)), b_rows.where(lattice.irregular(last)), on))
+    return found
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """Ids of several different boxes."""
+    return df.groupBy("id").agg(F.count("*").alias("boxes")).where("boxes > 1").select("id")
+
+
 def partner_counts(a: DataFrame, b: DataFrame, mode: str, extra: Column | None = None) -> DataFrame:
     """``a`` with ``partners``, its number of distinct partners in ``b``; 0 where there is none."""
     on = MODES[mode]() if extra is None else MODES[mode]() & extra
-    counts = spatial_join(a, b, on).groupBy(F.col("a.id").alias("id")).agg(F.count_distinct("b.id").alias("partners"))
+    if mode not in MEETING or extra is not None:
+        counts = listed_counts(a, b, on)
+    else:
+        left, right = a.select("id", *g.BOX).distinct(), b.select("id", *g.BOX).distinct()
+        twice_a, twice_b = repeated(left), repeated(right)
+        if not twice_a.unionByName(twice_b.select(F.col("id").cast(a.schema["id"].dataType))).isEmpty():
+            once_a, once_b = left.join(twice_a, "id", "left_anti"), right.join(twice_b, "id", "left_anti")
+            counts = met_counts(once_a, once_b, mode).unionByName(listed_counts(left.join(twice_a, "id", "left_semi"), right, on)).unionByName(listed_counts(once_a, right.join(twice_b, "id", "left_semi"), on))
+        else:
+            counts = met_counts(left, right, mode)
+    counts = counts.groupBy("id").agg(F.sum("n").alias("partners"))
     return a.join(counts, "id", "left").withColumn("partners", F.coalesce("partners", F.lit(0)))
 
 
+def hits(a: DataFrame, b: DataFrame, mode: str, tag: str | None = None, same: bool = True) -> DataFrame:
+    """(id): shapes of ``a`` with a partner in ``b``; with ``tag`` one with the same value of it, or with another one."""
+    if mode not in MEETING:
+        on = MODES[mode]() if tag is None else MODES[mode]() & (F.col(f"a.{tag}") == F.col(f"b.{tag}") if same else F.col(f"a.{tag}") != F.col(f"b.{tag}"))
+        return spatial_join(a, b, on).select(F.col("a.id").alias("id")).distinct()
+    if tag is None or same:
+        return met_counts(a, b, mode, tag).select("id").distinct()
+    a, b = a.dropna(subset=[tag]), b.dropna(subset=[tag])
+    less = met_counts(a, b, mode, tag).withColumn("n", -F.col("n"))
+    return met_counts(a, b, mode).unionByName(less).groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").select("id")
+
+
 def selected(a: DataFrame, b: DataFrame, mode: str, at_least: int = 1, at_most: int | None = None, invert: bool = False, extra: Column | None = None) -> DataFrame:
     """Shapes of ``a`` with ``at_least`` to ``at_most`` partners, or the others."""
+    if at_least == 1 and at_most is None and extra is None:
+        return a.join(hits(a, b, mode), "id", "left_anti" if invert else "left_semi")
     n = F.col("partners")
     good = n >= at_least if at_most is None else n.between(at_least, at_most)
     return partner_counts(a, b, mode, extra).where(~good if invert else good).drop("partners")
 
 
+def selected_by(a: DataFrame, b: DataFrame, mode: str, tag: str, same: bool) -> DataFrame:
+    """Shapes of ``a`` with a partner that has the same value of ``tag``, or with one that has another; null has neither."""
+    return a.join(hits(a, b, mode, tag, same), "id", "left_semi")
+
+
 def split(a: DataFrame, b: DataFrame, mode: str) -> DataFrame:
     """``a`` with ``hit``: both halves of a selection from one join."""
-    return partner_counts(a, b, mode).withColumn("hit", F.col("partners") > 0).drop("partners")
+    found = hits(a, b, mode).withColumn("hit", F.lit(True))
+    return a.join(found, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def covered_area(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -79,8 +140,7 @@ def selected_inside(a: DataFrame, b: DataFrame, invert: bool = False) -> DataFra
 
 def pulled(a: DataFrame, b: DataFrame, mode: str) -> DataFrame:
     """Shapes of ``b`` that are partners of any shape of ``a``."""
-    hits = spatial_join(a, b, MODES[mode]()).select(F.col("b.id").alias("id")).distinct()
-    return b.join(hits, "id", "left_semi")
+    return b.join(hits(b, a, TURNED[mode]), "id", "left_semi")
 
 
 def members(a: DataFrame, b: DataFrame, invert: bool = False) -> DataFrame:

@@ -156,12 +156,12 @@ def rg_split_interacting(spark, sf):
 
 @query(_pair(_MEET) + " SELECT id FROM ra WHERE id IN (SELECT a FROM hits WHERE pa = pb)")
 def props_eq(spark, sf):
-    return spatial.selected(layer(spark, sf, "A"), layer(spark, sf, "R"), "interacting", extra=F.col("a.pid") == F.col("b.pid")).select("id")
+    return spatial.selected_by(layer(spark, sf, "A"), layer(spark, sf, "R"), "interacting", "pid", True).select("id")
 
 
 @query(_pair(_MEET) + " SELECT id FROM ra WHERE id IN (SELECT a FROM hits WHERE pa <> pb)")
 def props_ne(spark, sf):
-    return spatial.selected(layer(spark, sf, "A"), layer(spark, sf, "N"), "interacting", extra=F.col("a.pid") != F.col("b.pid")).select("id")
+    return spatial.selected_by(layer(spark, sf, "A"), layer(spark, sf, "N"), "interacting", "pid", False).select("id")
 
 
 ORACLES["props_ne"] = ORACLES["props_ne"].replace("layer = 'R'", "layer = 'N'")
@@ -325,7 +325,7 @@ _NETS = """RECURSIVE @ra AS (SELECT * FROM rects WHERE layer = 'A'), e AS (SELEC
 
 @query(_NETS + " SELECT id, net FROM net")
 def net_components(spark, sf):
-    return connectivity.layer_nets(layer(spark, sf, "A")).select("id", "net")
+    return connectivity.layer_nets(layer(spark, sf, "A")).select("id", "net").distinct()
 
 
 @query(_NETS + " SELECT net, count(*) AS shapes, CAST(sum(CAST(x1 - x0 AS BIGINT) * (y1 - y0)) AS BIGINT) AS area FROM net JOIN ra USING (id) GROUP BY net HAVING count(*) > 2")
