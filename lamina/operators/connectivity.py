@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators import lattice
 from lamina.operators.spatial import MODES, spatial_join
 from lamina.sources.staging import discard, staged
 
@@ -53,17 +54,41 @@ def spanning_stars(edges: DataFrame) -> DataFrame:
 
 def layer_nets(shapes: DataFrame) -> DataFrame:
     """``shapes`` with ``net``, joined within themselves."""
-    return shapes.join(components(shapes.select("id"), touching(shapes)), "id")
+    return jointed(shapes, [(shapes, None)])
 
 
 def connected_nets(shapes: DataFrame, connections: list[tuple[str, str]]) -> DataFrame:
     """``shapes`` with ``net``: layers of a pair (p, q) connect where they touch; (p, p) connects a layer with itself."""
-    edges = None
-    for p, q in connections:
-        first = shapes.where(F.col("layer") == p)
-        found = touching(first) if p == q else touching(first, shapes.where(F.col("layer") == q))
-        edges = found if edges is None else edges.unionByName(found)
-    return shapes.join(components(shapes.select("id"), edges), "id")
+    of = lambda layer: shapes.where(F.col("layer") == layer)
+    return jointed(shapes, [(of(p), None if p == q else of(q)) for p, q in connections])
+
+
+def jointed(shapes: DataFrame, pairs: list[tuple[DataFrame, DataFrame | None]]) -> DataFrame:
+    """``shapes`` with ``net``, the smallest id of its component where the two sides of each pair touch.
+
+    Joints stand for all touching pairs of a tile, so the links followed are
+    those between joints of one shape, not those between shapes.
+    """
+    found = None
+    for k, (first, second) in enumerate(pairs):
+        part = lattice.joints(first, second).withColumn("joint", F.struct(F.lit(k).alias("pair"), "tx", "ty", "k"))
+        part = part.select("id", "joint", (F.col("many") | F.lit(len(pairs) > 1)).alias("many"))
+        found = part if found is None else found.unionByName(part)
+    of = staged(found, "joints")
+    several = of.where("many").select("joint", F.min("joint").over(Window.partitionBy("id")).alias("least"))
+    roots = spanning_stars(several.select(F.col("joint").alias("a"), F.col("least").alias("b")))
+    tied = of.select("id", "joint").join(roots, F.col("joint") == F.col("node"), "left").select("id", F.coalesce("root", "joint").alias("root"))
+    names = tied.groupBy("root").agg(F.min("id").alias("net"))
+    nets = tied.join(names, "root").select("id", "net").distinct()
+    every = [df for pair in pairs for df in pair if df is not None]
+    if lattice.any_irregular(0, *every):
+        edges = nets.select(F.col("id").alias("a"), F.col("net").alias("b"))
+        for first, second in pairs:
+            odd = lattice.irregular(0)
+            for a, b in ((first.where(odd), first if second is None else second), *(() if second is None else ((first, second.where(odd)),))):
+                edges = edges.unionByName(touching(a, b))
+        nets = components(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), edges)
+    return shapes.join(nets, "id", "left").withColumn("net", F.coalesce("net", "id"))
 
 
 def antenna(nets: DataFrame, gate: str, metal: str, limit: int) -> DataFrame:
