@@ -61,7 +61,7 @@ def any_irregular(last: int, *tables: DataFrame) -> bool:
 def streamed(rows: DataFrame, key: list[str], make: Callable[[], object], schema: str) -> DataFrame:
     """Each tile's rows, by ``kind`` in ascending order, through the ``take`` of a state of its own.
 
-    ``take(kind, rows)`` gives columns to return, or nothing.
+    ``take(kind, rows)``, and ``close()`` after the last one, give columns to return, or nothing.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,10 +78,14 @@ def streamed(rows: DataFrame, key: list[str], make: Callable[[], object], schema
                 part = batch.slice(low, high - low)
                 tile = tuple(part.column(c)[0].as_py() for c in key)
                 if tile != was:
+                    if state is not None and (out := state.close()) is not None:
+                        yield out
                     state, was = make(), tile
                 out = state.take(part.column("kind")[0].as_py(), part)
                 if out is not None:
                     yield out
+        if state is not None and (out := state.close()) is not None:
+            yield out
 
     return rows.repartition(*key).sortWithinPartitions(*key, "kind").mapInArrow(run, schema)
 
@@ -90,12 +94,12 @@ def _ints(part: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [part.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
 
 
-def _raster() -> np.ndarray:
-    return np.zeros((SIDE + 1, SIDE + 1), np.int64)
+def _raster(side: int = SIDE) -> np.ndarray:
+    return np.zeros((side + 1, side + 1), np.int64)
 
 
 def _add(raster: np.ndarray, v: np.ndarray, u: np.ndarray, by: int) -> None:
-    np.add.at(raster.reshape(-1), v * (SIDE + 1) + u, by)
+    np.add.at(raster.reshape(-1), v * raster.shape[1] + u, by)
 
 
 def _cover(raster: np.ndarray, u0: np.ndarray, v0: np.ndarray, u1: np.ndarray, v1: np.ndarray) -> None:
@@ -113,7 +117,12 @@ def _before(raster: np.ndarray, axis: int) -> np.ndarray:
     return np.cumsum(raster, axis) - raster
 
 
-class _Meetings:
+class _State:
+    def close(self) -> pa.RecordBatch | None:
+        return None
+
+
+class _Meetings(_State):
     """How many drawn boxes a box meets, each counted in the tile and at the point where both have begun along x and y."""
 
     def __init__(self):
@@ -177,7 +186,7 @@ def _linked(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return label
 
 
-class _Joints:
+class _Joints(_State):
     """Names the connected parts of the points at which boxes of both layers, or of one, lie.
 
     All boxes at such a point are one net, and so are all such points of one
@@ -277,3 +286,53 @@ def joints(first: DataFrame, second: DataFrame | None) -> DataFrame:
     if two:
         rows = rows.unionByName(drawn.withColumn("kind", F.lit(1)))
     return streamed(rows, ["tx", "ty"], lambda: _Joints(two), f"id {id_type.simpleString()}, many boolean, tx int, ty int, k int")
+
+
+class _Wraps(_State):
+    """How often two sides cover the unit cells of a tile, as runs of rows that are alike."""
+
+    def __init__(self, key: list[str], size: int, rim: int, present: bool):
+        self.key, self.size, self.rim, self.present = key, size, rim, present
+        self.cover = [_raster(size + 2 * rim) for _ in "ab"]
+
+    def take(self, kind: int, part: pa.RecordBatch) -> None:
+        x0, y0, x1, y1 = _ints(part, *g.BOX)
+        self.tile = [part.column(c)[0] for c in self.key]
+        self.left, self.down = (part.column(c)[0].as_py() * self.size - self.rim for c in ("tx", "ty"))
+        _cover(self.cover[kind], x0 - self.left, y0 - self.down, x1 - 1 - self.left, y1 - 1 - self.down)
+
+    def close(self) -> pa.RecordBatch | None:
+        full = self.size + 2 * self.rim
+        both = np.stack([_sums(c)[:full, :full] for c in self.cover])
+        if self.present:
+            both = (both > 0).astype(np.int64)
+        begins = np.flatnonzero(np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any((0, 2))]))
+        tops = np.append(begins[1:], full)
+        both = both[:, begins]
+        fresh = np.ones(both.shape[1:], bool)
+        fresh[:, 1:] = (both[:, :, 1:] != both[:, :, :-1]).any(0)
+        row, x0 = np.nonzero(fresh)
+        last = np.append(row[1:] != row[:-1], True)
+        x1 = np.where(last, full, np.append(x0[1:], full))
+        a, b = both[:, row, x0]
+        # what is free at the left and right of all boxes is no run
+        some = np.flatnonzero((a > 0) | (b > 0) | ((x0 > 0) & ~last))
+        if not len(some):
+            return None
+        row, x0, x1, a, b = (c[some] for c in (row, x0, x1, a, b))
+        columns = {"y": begins[row] + self.down, "top": tops[row] + self.down, "x0": x0 + self.left, "x1": x1 + self.left, "a": a, "b": b}
+        tile = [pa.array([value.as_py()], value.type).take(pa.array(np.zeros(len(some), np.int64))) for value in self.tile]
+        return pa.RecordBatch.from_arrays([*tile, *[pa.array(c) for c in columns.values()]], names=[*self.key, *columns])
+
+
+def wraps(boxes: DataFrame, tile: list[str], size: int, rim: int, present: bool) -> DataFrame:
+    """(*tile, y, top, x0, x1, a, b): runs x0..x1 of slabs y..top of a tile that boxes of ``side`` a and b cover equally often.
+
+    Boxes lie within their tile (tx, ty) grown by ``rim``; with ``present``
+    the counts are 0 or 1.  Free runs between covered ones come as well.
+    """
+    boxes = boxes.dropna(subset=tile).select(*tile, *g.BOX, F.when(F.col("side") == "a", 0).when(F.col("side") == "b", 1).alias("kind")).where("kind IS NOT NULL AND x1 > x0 AND y1 > y0")
+    types = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+    schema = [f"{c} {types[c]}" for c in tile] + [f"{c} long" for c in ("y", "top", "x0", "x1", "a", "b")]
+    found = streamed(boxes, tile, lambda: _Wraps(tile, size, rim, present), ", ".join(schema))
+    return found.withColumns({c: F.col(c).cast(types[of]) for c, of in (("y", "y0"), ("top", "y0"), ("x0", "x0"), ("x1", "x0"))})

@@ -1,8 +1,11 @@
-"""Boolean operations on axis-parallel shapes by a sweep written with SQL windows.
-
-Shapes are cut at tile borders, so a tile is swept on its own.  In a tile every
-distinct y begins a slab; each shape opens and closes an interval in the slabs
-it crosses, and running sums along x give how often either input covers a run.
+"""Boolean operations on axis-parallel shapes with whole corners.
+
+Shapes are cut at tile borders, so a tile is covered on its own.  A tile's
+shapes are streamed into rasters of its unit cells, from which slabs of alike
+rows and runs along x tell how often either input covers them (``lattice``).
+Tiles too large for that are swept: every distinct y begins a slab, each shape
+opens and closes an interval in the slabs it crosses, and running sums along x
+give how often either input covers a run.
 """
 
 from __future__ import annotations
@@ -11,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.operators import lattice
 from lamina.sources.staging import staged
 
 TILE = 256
+#: Longest side of a tile that is drawn cell by cell; larger ones are swept by SQL windows.
+LARGEST = 1024
 
 #: Operation to the condition on wrap counts a and b.
 OPERATIONS = {
@@ -49,6 +55,13 @@ def swept(boxes: DataFrame, tile: list[str]) -> DataFrame:
     return steps.select(*slab, F.col("x").alias("x0"), F.lead("x").over(along).alias("x1"), F.sum("da").over(upto).alias("a"), F.sum("db").over(upto).alias("b"))
 
 
+def wraps(boxes: DataFrame, tile: list[str], size: int, rim: int, present: bool) -> DataFrame:
+    """``swept`` without open runs, from rasters where they are small enough; with ``present`` the counts need only tell whether there is any."""
+    if size + 2 * rim <= LARGEST:
+        return lattice.wraps(boxes, tile, size, rim, present)
+    return swept(boxes, tile).where("x1 IS NOT NULL")
+
+
 def runs(a: DataFrame, b: DataFrame | None, keep: Column | str, size: int = TILE, tags: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
     """Disjoint boxes (tx, ty, x0, y0, x1, y1) where ``keep`` holds.
 
@@ -60,9 +73,9 @@ def runs(a: DataFrame, b: DataFrame | None, keep: Column | str, size: int = TILE
     if b is not None:
         boxes = boxes.unionByName(tiled(b.select(*g.BOX, *tags), size).withColumn("side", F.lit("b")))
     tile = ["tx", "ty", *tags]
-    wraps = swept(boxes, tile)
+    wrapped = wraps(boxes, tile, size, 0, present=isinstance(keep, str) and not more)
     condition = OPERATIONS[keep](F.col("a"), F.col("b")) if isinstance(keep, str) else keep
-    return wraps.where(condition & F.col("x1").isNotNull()).select(*tile, "x0", F.col("y").alias("y0"), "x1", F.col("top").alias("y1"), *more)
+    return wrapped.where(condition).select(*tile, "x0", F.col("y").alias("y0"), "x1", F.col("top").alias("y1"), *more)
 
 
 def area_by_tile(a: DataFrame, b: DataFrame | None, keep: Column | str, size: int = TILE, tags: tuple[str, ...] = ()) -> DataFrame:
@@ -150,13 +163,13 @@ def facing(a: DataFrame, distance: int, inside: bool, tags: tuple[str, ...] = ()
     for axis, boxes in (("y", a), ("x", swapped(a))):
         near = tiled(boxes.select(*g.BOX, *tags), size, distance)
         tile = ["tx", "ty", *tags]
-        wraps = swept(near.withColumn("side", F.lit("a")), tile)
-        wraps = wraps.where(F.col("x1").isNotNull()).withColumn("in", F.col("a") > 0)
+        strips = wraps(near.withColumn("side", F.lit("a")), tile, size, distance, present=True)
+        strips = strips.withColumn("in", F.col("a") > 0)
         # neighbouring runs that are both covered or both free are one
         along = Window.partitionBy(*tile, "y", "top").orderBy("x0")
         fresh = F.coalesce((F.lag("in").over(along) != F.col("in")).cast("int"), F.lit(1))
-        wraps = wraps.withColumn("run", F.sum(fresh).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        strips = wraps.groupBy(*tile, "y", "top", "run", "in").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+        strips = strips.withColumn("run", F.sum(fresh).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        strips = strips.groupBy(*tile, "y", "top", "run", "in").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
         mine = (F.floor(F.col("x0") / size) == F.col("tx")) & (F.col("x1") - F.col("x0") < distance) & (F.col("in") == inside)
         low, high = F.greatest("y", F.col("ty") * size), F.least("top", F.col("ty") * size + size)
         strips = strips.where(mine).select(*tags, "x0", "x1", low.cast("long").alias("t0"), high.cast("long").alias("t1")).where("t1 > t0")
@@ -181,11 +194,11 @@ def shrunk_area(a: DataFrame, by: int, size: int = TILE) -> DataFrame:
     x0, y0 = F.col("tx") * size - by - 1, F.col("ty") * size - by - 1
     frame = near.select("tx", "ty").distinct().select("tx", "ty", x0.alias("x0"), y0.alias("y0"), (x0 + size + 2 * by + 2).alias("x1"), (y0 + size + 2 * by + 2).alias("y1"))
     both = near.select("tx", "ty", *g.BOX, F.lit("b").alias("side")).unionByName(frame.withColumn("side", F.lit("a")))
-    wraps = swept(both, ["tx", "ty"]).where("x1 IS NOT NULL AND a > 0 AND b = 0")
-    free = sized(wraps.select("tx", "ty", "x0", F.col("y").alias("y0"), "x1", F.col("top").alias("y1")), by)
+    gaps = wraps(both, ["tx", "ty"], size, by + 1, present=True).where("a > 0 AND b = 0")
+    free = sized(gaps.select("tx", "ty", "x0", F.col("y").alias("y0"), "x1", F.col("top").alias("y1")), by)
     tx, ty = F.col("tx") * size, F.col("ty") * size
     core = {"x0": F.greatest("x0", tx), "y0": F.greatest("y0", ty), "x1": F.least("x1", tx + size), "y1": F.least("y1", ty + size)}
     both = near.select("tx", "ty", *g.BOX, F.lit("a").alias("side")).unionByName(free.select("tx", "ty", *g.BOX, F.lit("b").alias("side"))).withColumns(core)
-    left = swept(both.where("x1 > x0 AND y1 > y0"), ["tx", "ty"]).where("x1 IS NOT NULL AND a > 0 AND b = 0")
+    left = wraps(both.where("x1 > x0 AND y1 > y0"), ["tx", "ty"], size, 0, present=True).where("a > 0 AND b = 0")
     area = (F.col("x1") - F.col("x0")).cast("long") * (F.col("top") - F.col("y"))
     return left.groupBy("tx", "ty").agg(F.sum(area).alias("area"))

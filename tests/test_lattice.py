@@ -90,3 +90,35 @@ def test_dense_layers_list_no_pairs(spark, monkeypatch):
     assert spatial.partner_counts(a, b, "interacting").where("partners = 30000").count() == 30_000
     assert connectivity.connected_nets(a.unionByName(b), [("A", "R")]).where("net = 'A0'").count() == 60_000
     assert lattice.SIDE < 200
+
+
+def test_rasters_cover_as_windows_do(spark):
+    from lamina.functions import geometry as g
+    from lamina.operators import sweep
+
+    rows = [(r[1], r[2], *r[3:]) for name in "AR" for r in boxes(random.Random(name), name, 120, 150, 60)]
+    frame = spark.createDataFrame(rows, "layer string, pid string, x0 int, y0 int, x1 int, y1 int")
+    tiles = sweep.tiled(frame.select("layer", *g.BOX), 32, 3).select("tx", "ty", *g.BOX, (frame.layer == "A").alias("first")).selectExpr("tx", "ty", "x0", "y0", "x1", "y1", "IF(first, 'a', 'b') AS side")
+
+    def cells(wraps, clip):
+        found = {}
+        for r in wraps.collect():
+            for x in range(r.x0, r.x1):
+                for y in range(r.y, r.top):
+                    if r.a or r.b:
+                        assert (r.tx, r.ty, x, y) not in found
+                        found[r.tx, r.ty, x, y] = (min(r.a, clip), min(r.b, clip))
+        return found
+
+    for present in (False, True):
+        by_windows = cells(sweep.swept(tiles, ["tx", "ty"]).where("x1 IS NOT NULL"), 1 if present else 999)
+        assert cells(lattice.wraps(tiles, ["tx", "ty"], 32, 3, present), 999) == by_windows
+
+
+def test_many_boxes_at_one_place_are_few_runs(spark):
+    """What 20,000 boxes cover together is told by one run; the windows gave some for each height."""
+    from lamina.operators import sweep
+
+    heap = spark.range(20_000).selectExpr("CAST(id % 50 AS int) AS x0", "CAST(id % 49 AS int) AS y0", "CAST(100 + id % 50 AS int) AS x1", "CAST(100 + id % 49 AS int) AS y1", "'L' AS layer")
+    square = heap.unionByName(spark.createDataFrame([(0, 0, 149, 148, "L")], heap.schema))
+    assert [tuple(r) for r in sweep.runs(square, None, "or").select("x0", "y0", "x1", "y1").collect()] == [(0, 0, 149, 148)]
