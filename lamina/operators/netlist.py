@@ -32,3 +32,15 @@ def compare(left: DataFrame, right: DataFrame, key: str, values: list[str], tole
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one side only, as often as they are missing on the other, with ``side``."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
+def difference_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``difference`` with equal rows as one, and ``shapes``, their number.
+
+    Rows are dealt by value before they are counted, so a task counts its own
+    share of the values and not all that its part of the file holds.
+    """
+    values = a.columns
+    both = a.withColumn("more", F.lit(1)).unionByName(b.withColumn("more", F.lit(-1)))
+    sums = both.repartition(*values).groupBy(*values).agg(F.sum("more").alias("more")).where("more <> 0")
+    return sums.select(F.when(F.col("more") > 0, "a").otherwise("b").alias("side"), *values, F.abs("more").alias("shapes"))

@@ -351,7 +351,7 @@ _PLACE = "SELECT x0, y0, x1, y1, pid FROM rects WHERE layer = "
        UNION ALL SELECT 'b', * FROM ({_PLACE}'R' EXCEPT ALL {_PLACE}'A')) GROUP BY ALL""")
 def layout_diff(spark, sf):
     place = lambda name: layer(spark, sf, name).select(*BOXES, "pid")
-    return netlist.difference(place("A"), place("R")).groupBy("side", *BOXES, "pid").agg(F.count("*").alias("shapes"))
+    return netlist.difference_counts(place("A"), place("R"))
 
 
 def _devices(spark, sf) -> DataFrame:

@@ -122,3 +122,12 @@ def test_many_boxes_at_one_place_are_few_runs(spark):
     heap = spark.range(20_000).selectExpr("CAST(id % 50 AS int) AS x0", "CAST(id % 49 AS int) AS y0", "CAST(100 + id % 50 AS int) AS x1", "CAST(100 + id % 49 AS int) AS y1", "'L' AS layer")
     square = heap.unionByName(spark.createDataFrame([(0, 0, 149, 148, "L")], heap.schema))
     assert [tuple(r) for r in sweep.runs(square, None, "or").select("x0", "y0", "x1", "y1").collect()] == [(0, 0, 149, 148)]
+
+
+def test_difference_counts_like_difference(spark):
+    from lamina.operators import netlist
+
+    rng = random.Random(2)
+    a, b = (spark.createDataFrame([(rng.randint(0, 3), rng.choice(["F", None])) for _ in range(n)], "x0 int, pid string") for n in (40, 31))
+    want = netlist.difference(a, b).groupBy("side", "x0", "pid").count().collect()
+    assert sorted(map(repr, map(tuple, netlist.difference_counts(a, b).collect()))) == sorted(map(repr, map(tuple, want)))
