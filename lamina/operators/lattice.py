@@ -20,6 +20,10 @@ from lamina.functions import geometry as g
 
 #: Lattice points at a tile's side.
 SIDE = 128
+#: The same where boxes inside others are looked up, and the widest of them that a raster there holds.
+INNER_SIDE = INNER_WIDTH = 64
+#: Most boxes that such a raster tells apart; asked for more, pairs are listed.
+ENOUGH = 8
 
 
 def dealt(df: DataFrame, last: int, *more: str) -> DataFrame:
@@ -71,7 +75,7 @@ def streamed(rows: DataFrame, key: list[str], make: Callable[[], object], schema
                 continue
             cuts = np.zeros(batch.num_rows, bool)
             for c in (*key, "kind"):
-                codes = batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
                 cuts[1:] |= codes[1:] != codes[:-1]
             begins = [0, *np.flatnonzero(cuts).tolist(), batch.num_rows]
             for low, high in zip(begins, begins[1:], strict=False):
@@ -336,3 +340,140 @@ def wraps(boxes: DataFrame, tile: list[str], size: int, rim: int, present: bool)
     schema = [f"{c} {types[c]}" for c in tile] + [f"{c} long" for c in ("y", "top", "x0", "x1", "a", "b")]
     found = streamed(boxes, tile, lambda: _Wraps(tile, size, rim, present), ", ".join(schema))
     return found.withColumns({c: F.col(c).cast(types[of]) for c, of in (("y", "y0"), ("top", "y0"), ("x0", "x0"), ("x1", "x0"))})
+
+
+def narrow() -> Column:
+    x0, _, x1, _ = g.box()
+    return x1 - x0 <= INNER_WIDTH
+
+
+def _fewest(p: list[np.ndarray], q: list[np.ndarray]) -> list[np.ndarray]:
+    """The least len(p) of each two ascending lists, ascending."""
+    low = [np.minimum(a, b) for a, b in zip(p, reversed(q), strict=True)]
+    for upto in range(len(low) - 1, 0, -1):
+        for k in range(upto):
+            low[k], low[k + 1] = np.minimum(low[k], low[k + 1]), np.maximum(low[k], low[k + 1])
+    return low
+
+
+class _Inners(_State):
+    """How many drawn boxes lie inside a box, of those that begin in the tile; ``enough`` or more count as ``enough``.
+
+    A few boxes are compared one by one.  For more, ``tops[k]`` holds for each
+    corner and right border the k-th lowest upper border of the boxes that begin
+    there or further up and right, and end there or further left.
+    """
+
+    FEW = 1024
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, enough: int):
+        self.enough, self.held, self.tops, self.ready = enough, [], None, False
+
+    def take(self, kind: int, part: pa.RecordBatch) -> pa.RecordBatch | None:
+        u, v, x1, y1 = _ints(part, "u", "v", "x1", "y1")
+        w = np.minimum(x1 - part.column("tx")[0].as_py() * INNER_SIDE, INNER_SIDE + INNER_WIDTH)
+        if kind == 0:
+            if self.tops is None:
+                self.held.append(np.stack([u, v, w, y1]))
+                if sum(h.shape[1] for h in self.held) <= self.FEW:
+                    return None
+                u, v, w, y1 = np.concatenate(self.held, 1)
+                self.held, self.tops = [], np.full((self.enough, INNER_SIDE, INNER_SIDE, INNER_SIDE + INNER_WIDTH + 1), self.NONE, np.int32)
+            self.draw(u, v, w, y1)
+            return None
+        if self.tops is not None:
+            if not self.ready:
+                self.ready = True
+                self.spread()
+            n = (self.tops[:, u, v, w] <= y1).sum(0)
+        elif self.held:
+            self.held = [np.concatenate(self.held, 1)]
+            own = [c[:, None] for c in self.held[0].astype(np.int32)]
+            n = np.zeros(len(u), np.int64)
+            for k in range(0, len(u), self.FEW):
+                s = slice(k, k + self.FEW)
+                n[s] = ((own[0] >= u[s].astype(np.int32)) & (own[1] >= v[s].astype(np.int32)) & (own[2] <= w[s].astype(np.int32)) & (own[3] <= y1[s].astype(np.int32))).sum(0)
+            n = np.minimum(n, self.enough)
+        else:
+            return None
+        some = pa.array(n > 0)
+        return pa.RecordBatch.from_arrays([part.column("id").filter(some), pa.array(n.astype(np.int64)).filter(some)], names=["id", "n"])
+
+    def draw(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, y1: np.ndarray) -> None:
+        flat = self.tops.reshape(self.enough, -1)
+        at = (u * self.tops.shape[2] + v) * self.tops.shape[3] + w
+        order = np.lexsort((y1, at))
+        at, y1 = at[order], y1[order]
+        places, first, group = np.unique(at, return_index=True, return_inverse=True)
+        rank = np.arange(len(at)) - first[group]
+        few = rank < self.enough
+        fresh = np.full((self.enough, len(places)), self.NONE, np.int32)
+        fresh[rank[few], group[few]] = y1[few]
+        flat[:, places] = _fewest(list(flat[:, places]), list(fresh))
+
+    def spread(self) -> None:
+        for axis, back in ((1, True), (2, True), (3, False)):
+            lines = np.moveaxis(self.tops, axis, 0)
+            lines = lines[::-1] if back else lines
+            for before, line in zip(lines[:-1], lines[1:], strict=True):
+                line[...] = _fewest(list(line), list(before))
+
+
+def inners(a: DataFrame, b: DataFrame, enough: int) -> DataFrame:
+    """(id, n): for shapes of ``a`` with any, parts of the number of narrow shapes in ``b`` inside them; parts of one id add up.
+
+    Sums under ``enough`` are exact, others are at least that.
+    """
+    x0, y0, x1, y1 = g.box()
+    cell = lambda c: F.floor(c / INNER_SIDE).cast("int")
+    inner = lambda c, of: F.greatest(c - F.col(of) * INNER_SIDE, F.lit(0)).cast("short")
+    id_type = a.schema["id"].dataType
+    drawn = b.where(regular(0) & narrow()).select(F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("id"), *g.BOX, cell(x0).alias("tx"), cell(y0).alias("ty"))
+    asked = a.where(regular(0)).select(F.lit(1).alias("kind"), "id", *g.BOX).withColumn("tx", F.explode(F.sequence(cell(x0), cell(x1)))).withColumn("ty", F.explode(F.sequence(cell(y0), cell(y1))))
+    rows = drawn.unionByName(asked).select("kind", "id", "tx", "ty", inner(x0, "tx").alias("u"), inner(y0, "ty").alias("v"), "x1", "y1")
+    return streamed(rows, ["tx", "ty"], lambda: _Inners(enough), f"id {id_type.simpleString()}, n long")
+
+
+class _Hands(_State):
+    """How much of a level or upright edge has drawn cells at both hands, at one, and at none."""
+
+    def __init__(self):
+        self.cells, self.sums = _raster(SIDE + 1), None
+
+    def take(self, kind: int, part: pa.RecordBatch) -> pa.RecordBatch | None:
+        u0, v0, u1, v1 = _ints(part, "u0", "v0", "u1", "v1")
+        if kind == 0:
+            _cover(self.cells, u0, v0, u1, v1)
+            return None
+        if self.sums is None:
+            cells = (_sums(self.cells)[: SIDE + 1, : SIDE + 1] > 0).astype(np.int64)
+            self.sums = []
+            for axis, one, other in ((1, cells[1:, 1:], cells[:-1, 1:]), (0, cells[1:, 1:], cells[1:, :-1])):
+                self.sums.append([np.pad(c.cumsum(axis), ((axis == 0, 0), (axis == 1, 0))) for c in (one & other, one ^ other)])
+        level = v0 == v1
+        both, single = (np.zeros(len(u0), np.int64) for _ in "ab")
+        for which, sums in ((level, self.sums[0]), (~level, self.sums[1])):
+            for found, c in zip((both, single), sums, strict=True):
+                found[which] = c[v1[which], u1[which]] - c[v0[which], u0[which]]
+        names = [n for n in part.schema.names if n not in ("kind", "tx", "ty", "u0", "v0", "u1", "v1")]
+        counts = {"inside": both, "border": single, "outside": u1 - u0 + v1 - v0 - both - single}
+        return pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *[pa.array(c) for c in counts.values()]], names=[*names, *counts])
+
+
+def hands(edges: DataFrame, boxes: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
+    """(*tags, id, inside, border, outside): parts of the lengths of whole level or upright edges (*tags, id, x0, y0, x1, y1) against boxes (*tags, x0, y0, x1, y1) taken as one region; those of one edge add up."""
+    x0, y0, x1, y1 = g.box()
+    cell = lambda c: F.floor(c / SIDE).cast("int")
+    cells = lambda low, high: F.explode(F.sequence(cell(low), cell(high)))
+    left, down = F.col("tx") * SIDE, F.col("ty") * SIDE
+    kinds = {f.name: f.dataType for f in edges.schema.fields}
+    # a tile's cells, and those left of and below it
+    drawn = boxes.where("x1 > x0 AND y1 > y0").withColumn("tx", cells(x0, x1)).withColumn("ty", cells(y0, y1))
+    near = {"u0": F.greatest(x0 - left + 1, F.lit(0)), "v0": F.greatest(y0 - down + 1, F.lit(0)), "u1": F.least(x1 - left, F.lit(SIDE)), "v1": F.least(y1 - down, F.lit(SIDE))}
+    drawn = drawn.select(*tags, F.lit(None).cast(kinds["id"]).alias("id"), F.lit(0).alias("kind"), "tx", "ty", *[c.cast("short").alias(n) for n, c in near.items()])
+    asked = edges.where("(x1 > x0) <> (y1 > y0)").withColumn("tx", cells(x0, F.greatest(x0, x1 - 1))).withColumn("ty", cells(y0, F.greatest(y0, y1 - 1)))
+    own = {"u0": F.greatest(x0 - left, F.lit(0)), "v0": F.greatest(y0 - down, F.lit(0)), "u1": F.least(x1 - left, F.lit(SIDE)), "v1": F.least(y1 - down, F.lit(SIDE))}
+    asked = asked.select(*tags, "id", F.lit(1).alias("kind"), "tx", "ty", *[c.cast("short").alias(n) for n, c in own.items()])
+    schema = [*[f"{c} {kinds[c].simpleString()}" for c in (*tags, "id")], *[f"{c} long" for c in ("inside", "border", "outside")]]
+    return streamed(drawn.unionByName(asked), [*tags, "tx", "ty"], _Hands, ", ".join(schema))

@@ -7,7 +7,8 @@ an ordinary skewed join key, which adaptive execution splits.
 
 Selections by meeting do not need the pairs, whose number grows with the square
 of the density: ``lattice`` counts the partners of each shape.  Only shapes that
-it cannot hold, and ids that stand for several boxes, go through pairs.
+it cannot hold, and ids that stand for several boxes, go through pairs.  So do
+boxes wider than its rasters where boxes inside others are asked for.
 """
 
 from __future__ import annotations
@@ -69,30 +70,49 @@ def met_counts(a: DataFrame, b: DataFrame, mode: str, tag: str | None = None) ->
     return found
 
 
+def covering_counts(a: DataFrame, b: DataFrame, enough: int) -> DataFrame:
+    """(id, n): parts that add up to the number of boxes in ``b`` inside each shape of ``a``; sums under ``enough`` are exact, others at least that."""
+    found = lattice.inners(a, b, enough)
+    odd = lattice.irregular(0)
+    wide = lattice.regular(0) & ~lattice.narrow()
+    rest = [t.agg(F.max(odd | wide).alias("odd")) for t in (a.where(odd), b)]
+    if rest[0].unionByName(rest[1]).agg(F.max("odd")).first()[0]:
+        on, b = MODES["covering"](), b.withColumn("id", F.monotonically_increasing_id())
+        found = found.unionByName(listed_counts(a.where(odd), b, on)).unionByName(listed_counts(a.where(wide), b.where(wide), on)).unionByName(listed_counts(a.where(lattice.regular(0)), b.where(odd), on))
+    return found
+
+
 def repeated(df: DataFrame) -> DataFrame:
     """Ids of several different boxes."""
     return df.groupBy("id").agg(F.count("*").alias("boxes")).where("boxes > 1").select("id")
 
 
-def partner_counts(a: DataFrame, b: DataFrame, mode: str, extra: Column | None = None) -> DataFrame:
-    """``a`` with ``partners``, its number of distinct partners in ``b``; 0 where there is none."""
+def partner_counts(a: DataFrame, b: DataFrame, mode: str, extra: Column | None = None, enough: int | None = None) -> DataFrame:
+    """``a`` with ``partners``, its number of distinct partners in ``b``; 0 where there is none.
+
+    With ``enough`` only numbers under it need to be told apart.
+    """
     on = MODES[mode]() if extra is None else MODES[mode]() & extra
-    if mode not in MEETING or extra is not None:
+    inner = mode == "covering" and enough is not None and enough <= lattice.ENOUGH
+    once_counts = (lambda p, q: covering_counts(p, q, enough)) if inner else (lambda p, q: met_counts(p, q, mode))
+    if not (mode in MEETING or inner) or extra is not None:
         counts = listed_counts(a, b, on)
     else:
         left, right = a.select("id", *g.BOX).distinct(), b.select("id", *g.BOX).distinct()
         twice_a, twice_b = repeated(left), repeated(right)
         if not twice_a.unionByName(twice_b.select(F.col("id").cast(a.schema["id"].dataType))).isEmpty():
             once_a, once_b = left.join(twice_a, "id", "left_anti"), right.join(twice_b, "id", "left_anti")
-            counts = met_counts(once_a, once_b, mode).unionByName(listed_counts(left.join(twice_a, "id", "left_semi"), right, on)).unionByName(listed_counts(once_a, right.join(twice_b, "id", "left_semi"), on))
+            counts = once_counts(once_a, once_b).unionByName(listed_counts(left.join(twice_a, "id", "left_semi"), right, on)).unionByName(listed_counts(once_a, right.join(twice_b, "id", "left_semi"), on))
         else:
-            counts = met_counts(left, right, mode)
+            counts = once_counts(left, right)
     counts = counts.groupBy("id").agg(F.sum("n").alias("partners"))
     return a.join(counts, "id", "left").withColumn("partners", F.coalesce("partners", F.lit(0)))
 
 
 def hits(a: DataFrame, b: DataFrame, mode: str, tag: str | None = None, same: bool = True) -> DataFrame:
     """(id): shapes of ``a`` with a partner in ``b``; with ``tag`` one with the same value of it, or with another one."""
+    if mode == "covering" and tag is None:
+        return covering_counts(a, b, 1).select("id").distinct()
     if mode not in MEETING:
         on = MODES[mode]() if tag is None else MODES[mode]() & (F.col(f"a.{tag}") == F.col(f"b.{tag}") if same else F.col(f"a.{tag}") != F.col(f"b.{tag}"))
         return spatial_join(a, b, on).select(F.col("a.id").alias("id")).distinct()
@@ -109,7 +129,7 @@ def selected(a: DataFrame, b: DataFrame, mode: str, at_least: int = 1, at_most:
         return a.join(hits(a, b, mode), "id", "left_anti" if invert else "left_semi")
     n = F.col("partners")
     good = n >= at_least if at_most is None else n.between(at_least, at_most)
-    return partner_counts(a, b, mode, extra).where(~good if invert else good).drop("partners")
+    return partner_counts(a, b, mode, extra, (at_least if at_most is None else at_most + 1)).where(~good if invert else good).drop("partners")
 
 
 def selected_by(a: DataFrame, b: DataFrame, mode: str, tag: str, same: bool) -> DataFrame:

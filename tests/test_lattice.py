@@ -45,6 +45,30 @@ def test_partners_against_all_pairs(spark, layers, mode, open_):
     assert {r["id"] for r in spatial.split(left, right, mode).where("NOT hit").collect()} == {k for k, v in want.items() if not v}
 
 
+def test_covering_against_all_pairs(spark, layers):
+    a, b = layers
+    rng = random.Random(3)
+    small = [(f"S{k}", "R", "F", x, y, x + rng.randint(0, 6), y + rng.randint(0, 6)) for k in range(400) for x, y in [(rng.randint(-300, 300), rng.randint(-300, 300))]]
+    b = b + small + [("R-wide", "R", "F", -600, -2, -500, 2), ("R-out2", "R", "F", -100, 1, -104, 2), ("R-in", "R", "F", 250, 250, 251, 251), ("S1", "R", "F", 251, 250, 251, 252)]
+    lies = lambda x, z: z[3] >= x[3] and z[5] <= x[5] and z[4] >= x[4] and z[6] <= x[6] and meets(x, z)
+    whole = [r for r in a if r[3] is not None]
+    want = {x[0]: {z[0] for y in whole if y[0] == x[0] for z in b if lies(y, z)} for x in a}
+    assert max(map(len, want.values())) > 3 and "R-wide" in want["A-long"]
+    left, right = spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX)
+    for least, most in ((1, None), (2, None), (1, 1), (2, 3), (9, None)):
+        good = {k for k, v in want.items() if len(v) >= least and (most is None or len(v) <= most)}
+        assert {r["id"] for r in spatial.selected(left, right, "covering", least, most).collect()} == good, (least, most)
+    assert {r["id"] for r in spatial.split(left, right, "covering").where("hit").collect()} == {k for k, v in want.items() if v}
+    assert {r["id"] for r in spatial.pulled(right, left, "inside").collect()} == {k for k, v in want.items() if v}
+
+
+def test_dense_layers_cover_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "spatial_join", None)
+    side = lambda name, low, high: spark.range(20_000).selectExpr(f"concat('{name}', id) AS id", *[f"CAST(id % {n} + {d} AS int) AS {c}" for c, n, d in (("x0", 7, low), ("y0", 11, low), ("x1", 5, high), ("y1", 3, high))])
+    a, b = side("A", 0, 100), side("R", 20, 70)
+    assert spatial.selected(a, b, "covering", 2).count() == spatial.split(a, b, "covering").where("hit").count() == 20_000
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_partners_by_property(spark, layers, same):
     a, b = ([r for r in side if r[3] is not None] for side in layers)
