@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators import lattice
 from lamina.operators.trapezoids import SIDE, trapezoids
 from lamina.sources.staging import staged
 
@@ -20,6 +21,8 @@ from lamina.sources.staging import staged
 PIECE = 1024
 #: Distances below this, in database units, count as none.
 NEAR = 1e-7
+#: Where a part of an edge may lie.
+PLACES = ("inside", "border", "outside")
 
 
 def edge_parts(edges: DataFrame, polygons: DataFrame, tags: tuple[str, ...] = (), size: int = SIDE) -> DataFrame:
@@ -28,7 +31,7 @@ def edge_parts(edges: DataFrame, polygons: DataFrame, tags: tuple[str, ...] = ()
     ``t0`` and ``t1`` are distances from the edge's start and ``place`` is
     inside, border or outside; parts of one edge do not overlap and fill it, and
     one longer than ``PIECE`` has a cut at each.  Edges are told apart by tags
-    and id; those without length, or with a null tag, give nothing.
+    and id; those without length give nothing, those with a null tag lie outside.
     """
     region = staged(trapezoids(polygons.withColumn("side", F.lit("a")), "or", tags, size=size).where(F.col("top") - F.col("y") > NEAR), "trapezoids")
     length = F.sqrt(F.pow((F.col("x2") - F.col("x1")).cast("double"), 2) + F.pow((F.col("y2") - F.col("y1")).cast("double"), 2))
@@ -77,7 +80,44 @@ def edge_parts(edges: DataFrame, polygons: DataFrame, tags: tuple[str, ...] = ()
     return joined.select(*tags, "id", ((F.col("part") + F.col("t")) * F.col("long")).alias("t0"), ((F.col("part") + F.col("u")) * F.col("long")).alias("t1"), place.alias("place"))
 
 
-def edge_lengths(edges: DataFrame, polygons: DataFrame, tags: tuple[str, ...] = (), size: int = SIDE) -> DataFrame:
-    """(*tags, id, inside, border, outside): how much of each edge lies where."""
-    sums = [F.sum(F.when(F.col("place") == p, F.col("t1") - F.col("t0")).otherwise(0.0)).alias(p) for p in ("inside", "border", "outside")]
-    return edge_parts(edges, polygons, tags, size).groupBy(*tags, "id").agg(*sums)
+def whole_box() -> Column:
+    """Polygons without holes whose contour is that of a box with whole corners, in either direction and from any corner."""
+    p = lambda k: F.element_at("pts", k)
+    along = lambda c, d: (p(1)[c] == p(2)[c]) & (p(3)[c] == p(4)[c]) & (p(2)[d] == p(3)[d]) & (p(4)[d] == p(1)[d])
+    whole = F.forall("pts", lambda q: _small(q["x"]) & _small(q["y"]))
+    return F.when(F.size("pts") == 4, (along("x", "y") | along("y", "x")) & whole).otherwise(False)
+
+
+def _small(c: Column) -> Column:
+    """Whole numbers that an int holds."""
+    return (F.abs(c) < 2**30) & (F.floor(c) == c)
+
+
+def edge_lengths(edges: DataFrame, polygons: DataFrame, tags: tuple[str, ...] = (), size: int = SIDE, by: str = "id") -> DataFrame:
+    """(*tags, id, inside, border, outside): how much of each edge lies where, or of all edges with one value of column ``by``, as ``by``.
+
+    Against whole boxes, level and upright edges with whole ends are looked up
+    in rasters, whose work does not grow with the pieces that meet in a tile.
+    """
+    sums = [F.sum(F.when(F.col("place") == p, F.col("t1") - F.col("t0")).otherwise(0.0)).alias(p) for p in PLACES]
+
+    def listed(some: DataFrame) -> DataFrame:
+        parts = edge_parts(some, polygons, tags, size)
+        if by != "id":
+            own = some.select(*tags, "id", by).distinct().alias("own")
+            parts = parts.alias("part").join(own, reduce(lambda p, q: p & q, [F.col(f"part.{c}").eqNullSafe(F.col(f"own.{c}")) for c in (*tags, "id")])).select("part.*", f"own.{by}")
+        return parts.groupBy(*tags, by).agg(*sums)
+
+    if "holes" in polygons.columns or polygons.where(~F.coalesce(whole_box(), F.lit(False))).limit(1).count():
+        return listed(edges)
+    ends = ("x1", "y1", "x2", "y2")
+    straight = ((F.col("x1") == F.col("x2")) | (F.col("y1") == F.col("y2"))) & reduce(lambda p, q: p & q, [_small(F.col(c)) for c in ends])
+    straight = F.coalesce(straight, F.lit(False))
+    low, high = (lambda c, name: F.least(f"{c}1", f"{c}2").cast("int").alias(name)), (lambda c, name: F.greatest(f"{c}1", f"{c}2").cast("int").alias(name))
+    side = lambda f, c: f(F.transform("pts", lambda q: q[c])).cast("int")
+    boxes = polygons.dropna(subset=list(tags)).select(*tags, side(F.array_min, "x").alias("x0"), side(F.array_min, "y").alias("y0"), side(F.array_max, "x").alias("x1"), side(F.array_max, "y").alias("y1"))
+    parts = lattice.hands(edges.where(straight).select(*tags, F.col(by).alias("id"), low("x", "x0"), low("y", "y0"), high("x", "x1"), high("y", "y1")), boxes, tags)
+    found = parts.groupBy(*tags, F.col("id").alias(by)).agg(*[F.sum(p).cast("double").alias(p) for p in PLACES])
+    if edges.where(~straight).limit(1).count():
+        found = found.unionByName(listed(edges.where(~straight))).groupBy(*tags, by).agg(*[F.sum(p).alias(p) for p in PLACES])
+    return found

@@ -56,3 +56,29 @@ def test_random_edges_against_samples(spark):
                 k = (a + (b - a) * part) / long
                 hit = any(within(p, x1 + (x2 - x1) * k, y1 + (y2 - y1) * k) for p in triangles)
                 assert b - a < 1e-4 or hit == (place == "inside"), (x1, y1, x2, y2, a, b, place)
+
+
+def test_lengths_in_rasters_equal_sums_of_parts(spark, monkeypatch):
+    """Level and upright edges against whole boxes make no trapezoids, and give what their parts sum to."""
+    rng = random.Random(4)
+    corner = lambda: (rng.randint(-150, 150), rng.randint(-150, 150))
+    boxes, edges = [(128, -128, 140, 128, 1), (-128, 0, 0, 5, 0), (20, 20, 20, 60, 0)], [(0, 128, -140, 128, 128, 1), (1, -140, 0, 140, 0, 0), (2, 5, 5, 5, 5, 0)]
+    boxes += [(x, y, x + rng.randint(1, 60), y + rng.randint(1, 60), rng.randint(0, 1)) for x, y in (corner() for _ in range(30))]
+    for k in range(3, 120):
+        x, y = corner()
+        d = rng.randint(-200, 200)
+        edges.append((k, x, y, *((x + d, y) if k % 2 else (x, y + d)), rng.randint(0, 1)))
+    edges.append((200, 0, 0, 1, 1, None))
+    frame = spark.createDataFrame(edges, "id int, x1 int, y1 int, x2 int, y2 int, layer int")
+    region = spark.createDataFrame([(b[4], [(b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3])]) for b in boxes], "layer int, pts array<struct<x: int, y: int>>")
+    rows = lambda df: {r.id: (r.layer, round(r.inside, 6), round(r.border, 6), round(r.outside, 6)) for r in df.collect()}
+    parts = e.edge_parts(frame, region, ("layer",))
+    want = rows(parts.groupBy("layer", "id").pivot("place", ["inside", "border", "outside"]).sum("t1", "t0").selectExpr("layer", "id", *[f"coalesce(`{p}_sum(t1)` - `{p}_sum(t0)`, 0.0) AS {p}" for p in ("inside", "border", "outside")]))
+    slanted = spark.createDataFrame([(201, 0, 0, 30, 40, 1)], frame.schema)
+    both = rows(e.edge_lengths(frame.unionByName(slanted), region, ("layer",)))
+    assert abs(sum(both.pop(201)[1:]) - 50) < 1e-5 and both == want
+    odd = e.edge_lengths(frame.unionByName(slanted).selectExpr("*", "id % 2 AS odd"), region, ("layer",), by="odd").where("layer = 1 AND odd = 1").first()
+    assert abs(odd.inside + odd.border + odd.outside - 50 - sum(sum(v[1:]) for k, v in want.items() if k % 2 and v[0] == 1)) < 1e-4
+    monkeypatch.setattr(e, "trapezoids", None)
+    del want[200]
+    assert rows(e.edge_lengths(frame.where("id <> 200"), region, ("layer",))) == want
