@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -477,3 +478,107 @@ def hands(edges: DataFrame, boxes: DataFrame, tags: tuple[str, ...] = ()) -> Dat
     asked = asked.select(*tags, "id", F.lit(1).alias("kind"), "tx", "ty", *[c.cast("short").alias(n) for n, c in own.items()])
     schema = [*[f"{c} {kinds[c].simpleString()}" for c in (*tags, "id")], *[f"{c} long" for c in ("inside", "border", "outside")]]
     return streamed(drawn.unionByName(asked), [*tags, "tx", "ty"], _Hands, ", ".join(schema))
+
+
+class _Windings(_State):
+    """How many points of a tile lie inside polygons of which kinds: windings are summed along rows of points, whatever polygons cross there."""
+
+    #: Rows of edges taken at a time.
+    ROWS = 1 << 20
+
+    def __init__(self, dx: float, dy: float):
+        self.dx, self.dy, self.kind = dx, dy, None
+        self.inside = np.zeros((SIDE, SIDE), np.int64)
+
+    def take(self, kind: int, part: pa.RecordBatch) -> None:
+        if kind != self.kind:
+            self.finish()
+            self.kind, self.gains = kind, _raster()
+        self.tile = [part.column(c)[0].as_py() for c in ("tx", "ty")]
+        lists = part.column("pts")
+        n = np.diff(lists.offsets.to_numpy()) // 2
+        points = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 2)
+        n, hole = n[n > 0], part.column("hole").to_numpy(zero_copy_only=False)[n > 0]
+        if not len(n):
+            return
+        after = np.arange(1, len(points) + 1)
+        begins = np.cumsum(n) - n
+        after[begins + n - 1] = begins
+        x, y = points.T
+        clockwise = np.add.reduceat(x * y[after] - x[after] * y, begins) <= 0
+        turn = np.repeat(np.where(clockwise != hole, 1, -1), n)
+        rising = y < y[after]
+        low, high = (np.where((rising == first)[:, None], points, points[after]) for first in (True, False))
+        first, last = (np.clip(np.ceil(c[:, 1] - self.dy) - self.tile[1] * SIDE, 0, SIDE).astype(np.int64) for c in (low, high))
+        rows = last - first
+        upto = np.cumsum(rows)
+        cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + self.ROWS, self.ROWS)))
+        for some in map(slice, cuts, [*cuts[1:], len(rows)]):
+            self.gain(low[some], high[some], first[some], rows[some], np.where(rising, turn, -turn)[some])
+
+    def gain(self, low: np.ndarray, high: np.ndarray, first: np.ndarray, rows: np.ndarray, by: np.ndarray) -> None:
+        """Adds what windings gain at the right of edges, at the first point of each row there."""
+        edge = np.repeat(np.arange(len(rows)), rows)
+        row = np.arange(len(edge)) - (np.cumsum(rows) - rows - first)[edge]
+        slope = (high[:, 0] - low[:, 0]) / np.where(rows > 0, high[:, 1] - low[:, 1], 1)
+        x = low[edge, 0] + (row + (self.tile[1] * SIDE + self.dy) - low[edge, 1]) * slope[edge]
+        at = np.clip(np.ceil(x - self.dx) - self.tile[0] * SIDE, 0, SIDE).astype(np.int64)
+        _add(self.gains, row, at, by[edge])
+
+    def finish(self) -> None:
+        if self.kind is not None:
+            self.inside |= (self.gains.cumsum(1)[:SIDE, :SIDE] != 0).astype(np.int64) << self.kind
+
+    def close(self) -> pa.RecordBatch | None:
+        self.finish()
+        found, n = np.unique(self.inside, return_counts=True)
+        tile = [np.full(len(found), c, np.int64) for c in self.tile]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*tile, found, n.astype(np.int64))], names=["tx", "ty", "inside", "n"])
+
+
+def points_inside(polygons: DataFrame, kinds: int, dx: float, dy: float) -> DataFrame:
+    """(tx, ty, inside, n): how many points (i + dx, j + dy) of whole i, j of a tile lie inside polygons (kind, pts[, holes]) of the same kinds.
+
+    Bit k of ``inside`` is set where the winding number of kind k, of 0 to
+    ``kinds`` - 1 and at most 62, is not 0.  Directions of contours do not matter, nor do
+    the number of polygons at a point and the crossings of their edges: work
+    grows with the rows that edges meet.  Tiles that no polygon meets are left out.
+    """
+    known = polygons.where(F.col("kind").between(0, kinds - 1)).withColumn("kind", F.col("kind").cast("int"))
+    if "holes" in polygons.columns:
+        contour = lambda pts, hole: F.struct(pts.alias("pts"), F.lit(hole).alias("hole"))
+        contours = F.array(contour(F.col("pts"), False))
+        contours = F.concat(contours, F.coalesce(F.transform("holes", lambda h: contour(h, True)), F.slice(contours, 1, 0)))
+        known = known.select("kind", F.inline(contours))
+    else:
+        known = known.select("kind", "pts", F.lit(False).alias("hole"))
+
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("pts")), 0))
+            if not batch.num_rows:
+                continue
+            corners = batch.column("pts").flatten()
+            n = np.diff(batch.column("pts").offsets.to_numpy())
+            begins = np.cumsum(n) - n
+            corners = [corners.field(corners.type.get_field_index(c)) for c in "xy"]
+            low, many = [], []
+            for c, d in zip(corners, (dx, dy), strict=True):
+                c = np.ceil(c.to_numpy(zero_copy_only=False) - d)
+                low.append(np.floor_divide(np.minimum.reduceat(c, begins), SIDE))
+                # closed contours: what begins and ends before the same point holds none
+                some = np.maximum.reduceat(c, begins) > np.minimum.reduceat(c, begins)
+                many.append(np.where(some, np.floor_divide(np.maximum.reduceat(c, begins) - 1, SIDE) - low[-1] + 1, 0).astype(np.int64))
+            tiles = many[0] * many[1]
+            which = np.repeat(np.arange(len(n)), tiles)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+            tx, ty = low[0][which] + at % many[0][which], low[1][which] + at // many[0][which]
+            places = 2 * np.arange(len(corners[0]))
+            flat = pa.concat_arrays(corners).take(pa.array(np.argsort(np.concatenate([places, places + 1]), kind="stable")))
+            pts = pa.ListArray.from_arrays(pa.array(np.append(begins, len(places)).astype(np.int32) * 2), flat)
+            columns = [pa.array(tx.astype(np.int32)), pa.array(ty.astype(np.int32)), *[c.take(pa.array(which)) for c in (batch.column("kind"), batch.column("hole"), pts)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["tx", "ty", "kind", "hole", "pts"])
+
+    number = polygons.schema["pts"].dataType.elementType["x"].dataType.simpleString()
+    rows = known.mapInArrow(dealt, f"tx int, ty int, kind int, hole boolean, pts array<{number}>")
+    return streamed(rows, ["tx", "ty"], lambda: _Windings(dx, dy), "tx long, ty long, inside long, n long")

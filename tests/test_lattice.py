@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lamina.operators import connectivity, lattice, spatial
+from lamina.operators import connectivity, lattice, spatial, trapezoids
+from lamina.plans import shape_catalog
 
 BOX = "id string, layer string, pid string, x0 int, y0 int, x1 int, y1 int"
 
@@ -163,3 +167,54 @@ def test_edge_intersections_list_no_pairs(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(spatial, "spatial_join", None)
     found = shape_catalog.edge_intersections(spark, sf_dir)
     assert found.count() == found.distinct().count() > 0
+
+
+def test_points_inside_crowds_of_polygons(spark):
+    """Holes, contours either way round, an L, polygons over many tiles and a crowd at one place, against trapezoids and point by point."""
+    rng = random.Random(9)
+    dx, dy = 0.3711037, 0.4138291
+    point = lambda: (rng.randint(-150, 150), rng.randint(-90, 200))
+    near = lambda: (rng.randint(0, 20), rng.randint(0, 20))
+    rows = [(rng.randint(0, 1), [point() for _ in range(3)], None) for _ in range(12)]
+    rows += [(0, [(-140, 0), (-140, 30), (-120, 30), (-120, 10), (-100, 10), (-100, 0)], None), (1, [(200, 200), (300, 200), (300, 300), (200, 300)], [[(210, 210), (210, 290), (290, 290)], [(299, 201), (299, 203), (240, 201)]])]
+    rows += [(1, [(5, 5), (9, 9), (0, 0)], None), (1, [(3, 3)], None), (1, None, None), (7, [(0, 0), (0, 9), (9, 9)], None), (None, [(0, 0), (0, 9), (9, 9)], None)]
+    schema = "kind int, pts array<struct<x: int, y: int>>, holes array<array<struct<x: int, y: int>>>"
+    polygons = spark.createDataFrame(rows, schema)
+    count = lambda found: {(r.a, r.b): r.n for r in found.groupBy("a", "b").agg(F.sum("n").alias("n")).collect() if r.a or r.b}
+    bits = [F.expr(f"int((inside >> {k}) & 1)").alias(c) for k, c in enumerate("ab")]
+    got = count(lattice.points_inside(polygons, 2, dx, dy).select("n", *bits))
+    sided = polygons.where("kind < 2").withColumn("side", F.expr("if(kind = 0, 'a', 'b')"))
+    assert got == count(trapezoids.lattice_rows(trapezoids.trapezoids(sided, F.lit(True), (), ("a", "b")), dx, dy).withColumnRenamed("points", "n"))
+
+    crowd = [(rng.randint(0, 1), [near() for _ in range(3)], None) for _ in range(4000)]
+    want = {}
+    x, y = np.meshgrid(np.arange(20) + dx, np.arange(20) + dy)
+    for kind in (0, 1):
+        hit = np.zeros(x.shape, bool)
+        for p in (p for k, p, _ in crowd if k == kind):
+            turns = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) > 0 for a, b in zip(p, p[1:] + p[:1], strict=True)]
+            hit |= np.logical_and.reduce(turns) | ~np.logical_or.reduce(turns)
+        want[kind] = hit
+    got = count(lattice.points_inside(spark.createDataFrame(crowd, schema).drop("holes"), 2, dx, dy).select("n", *bits))
+    pairs = {(a, b): int(((want[0] == a) & (want[1] == b)).sum()) for a, b in ((0, 1), (1, 0), (1, 1))}
+    assert got == {k: n for k, n in pairs.items() if n}
+
+
+def test_points_inside_in_small_steps():
+    rng = random.Random(3)
+    contours = [[rng.randint(-40, 200) for _ in range(2 * n)] for n in (3, 1, 5, 4)] * 2
+    columns = {"tx": [0] * 8, "ty": [0] * 8, "hole": [False] * 8, "pts": pa.array(contours, pa.list_(pa.int32()))}
+    rows = pa.RecordBatch.from_pydict(columns)
+    found = []
+    for step in (1, 7, 1 << 20):
+        state = lattice._Windings(0.3, 0.4)
+        state.ROWS = step
+        state.take(0, rows.slice(0, 3))
+        state.take(0, rows.slice(3))
+        found.append(state.close().to_pylist())
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2
+
+
+def test_poly_booleans_looks_for_no_crossings(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(trapezoids, "edge_pieces", None)
+    assert shape_catalog.poly_booleans(spark, sf_dir).count() > 0
