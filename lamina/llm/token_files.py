@@ -16,6 +16,7 @@ no file.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -67,12 +68,17 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_column:
         lean()
         encoder = encoder_for(tokenizer_path)
         kind = _kind(max(encoder.size, end_id + 1))
-        for batch in batches:
-            for first in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(first, SLICE_ROWS)
-                found = [np.append(x, np.uint32(end_id)).astype(kind) for x in encoder.encode_all(rows.column(1).to_pylist())]
-                counts = pa.array([len(x) for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0), counts, pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n_tokens", "ids"])
+        end = np.array([end_id], kind).tobytes()
+        gc.disable()  # many small lists without cycles
+        try:
+            for batch in batches:
+                for first in range(0, batch.num_rows, SLICE_ROWS):
+                    rows = batch.slice(first, SLICE_ROWS)
+                    found = [x.astype(kind).tobytes() + end for x in encoder.encode_all(rows.column(1).to_pylist())]
+                    counts = pa.array([len(x) // len(end) for x in found], pa.int64())
+                    yield pa.RecordBatch.from_arrays([rows.column(0), counts, pa.array(found, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        finally:
+            gc.enable()
 
     return docs.select(F.col(id_column).cast("long"), text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 

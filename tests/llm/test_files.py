@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lamina.llm import packing, queries, token_files, warc
+from lamina.llm import packing, queries, token_files, tokenizing, warc
 from lamina.llm.tokenizing import ChunkEncoder, public_path
 
 
@@ -155,3 +155,17 @@ def test_letters_whose_lower_case_is_longer_keep_their_ids_before_signs(name):
     library = Tokenizer.from_file(public_path(name))
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in ChunkEncoder(public_path(name)).encode_all(texts)] == want
+
+
+def test_whole_words_go_to_the_model_as_bytes():
+    """Letters of two alphabets, digits and words that only begin so, at the start of lines and within, against the library; words of letters or digits pass no pre-tokenizer."""
+    encoder = ChunkEncoder(public_path("byte_bpe_50k.json"))
+    letters = [chr(c) for c in range(0x41, 0x530) if tokenizing._WHOLE.fullmatch(chr(c))]
+    words = ["".join(letters[k : k + 5]) for k in range(0, len(letters), 3)] + letters + ["0", "123", "4567890", "12ab", "ab12", "don't", "x×y", "÷", "ª", "naïve", "été,", "слово", "ſ", "ͅa", "á"]
+    texts = [" ".join(words), "\n".join(words), "\n\n".join(words[:50]), *words]
+    joined = []
+    encoder._joined, was = (lambda which, new, by_line=False: (joined.extend(new), was(which, new, by_line))[1]), encoder._joined
+    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert encoder.by_model and joined and not [w for w in joined if tokenizing._WHOLE.fullmatch(w)]
+    assert not ChunkEncoder(public_path("word_bpe_49k.json")).by_model
