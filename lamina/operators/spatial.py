@@ -21,6 +21,8 @@ from lamina.operators import lattice, sweep
 
 #: Side of a grid bin, in database units; a few times a usual shape.
 BIN = 64
+#: The same where only the lower left corners of one side are dealt.
+CORNER_BIN = 16
 
 
 def binned(df: DataFrame, size: int, grow: int = 0) -> DataFrame:
@@ -184,9 +186,16 @@ def space_pairs(a: DataFrame, b: DataFrame, distance: int, same: bool) -> DataFr
 
 
 def enclosure_pairs(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
-    """Boxes of ``b`` inside a box of ``a`` with a margin below ``distance`` on some side: (first, second, margin)."""
+    """Boxes of ``b`` inside a box of ``a`` with a margin below ``distance`` on some side: (first, second, margin).
+
+    The lower left corner of a box inside another one lies in that one too, so
+    boxes of ``b`` are dealt to one small bin each and few that do not fit are compared.
+    """
     ax0, ay0, ax1, ay1 = g.box("a")
     bx0, by0, bx1, by1 = g.box("b")
     margin = F.least(bx0 - ax0, ax1 - bx1, by0 - ay0, ay1 - by1)
-    pairs = spatial_join(a, b, g.inside("b", "a") & (margin < distance))
+    corner = {n: F.floor(F.col(c) / CORNER_BIN).cast("int") for n, c in (("bx", "x0"), ("by", "y0"))}
+    left, right = binned(a, CORNER_BIN).alias("a"), b.withColumns(corner).alias("b")
+    same = (F.col("a.bx") == F.col("b.bx")) & (F.col("a.by") == F.col("b.by"))
+    pairs = left.join(right, same & g.touches("a", "b") & g.inside("b", "a") & (margin < distance))
     return pairs.select(F.col("a.id").alias("first"), F.col("b.id").alias("second"), margin.alias("margin"))

@@ -218,3 +218,18 @@ def test_points_inside_in_small_steps():
 def test_poly_booleans_looks_for_no_crossings(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(trapezoids, "edge_pieces", None)
     assert shape_catalog.poly_booleans(spark, sf_dir).count() > 0
+
+
+def test_enclosure_pairs_deal_inner_boxes_once(spark, layers, monkeypatch):
+    a, b = layers
+    b = b + [(f"R-in{k}", "R", "F", x, y, x + 4, y + 3) for k, (_, _, _, x, y, _, _) in enumerate(r for r in a if r[3] is not None)]
+    inner = lambda p, q: q[3] >= p[3] and q[5] <= p[5] and q[4] >= p[4] and q[6] <= p[6]
+    margin = lambda p, q: min(q[3] - p[3], p[5] - q[5], q[4] - p[4], p[6] - q[6])
+    straight = lambda r: r[3] is not None and r[3] <= r[5] and r[4] <= r[6]
+    whole = [[r for r in t if straight(r)] for t in (a, b)]
+    want = sorted((p[0], q[0], margin(p, q)) for p in whole[0] for q in whole[1] if inner(p, q) and margin(p, q) < 3)
+    dealt, was = [], spatial.binned
+    monkeypatch.setattr(spatial, "binned", lambda df, *size: (dealt.append(size), was(df, *size))[1])
+    left, right = (spark.createDataFrame([r for r in t if r[3] is None or straight(r)], BOX) for t in (a, b))
+    assert sorted(map(tuple, spatial.enclosure_pairs(left, right, 3).collect())) == want and len(want) > 100
+    assert len(dealt) == 1
