@@ -169,3 +169,30 @@ def test_whole_words_go_to_the_model_as_bytes():
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
     assert encoder.by_model and joined and not [w for w in joined if tokenizing._WHOLE.fullmatch(w)]
     assert not ChunkEncoder(public_path("word_bpe_49k.json")).by_model
+
+
+def test_repeated_words_and_runs_of_signs_are_learnt_once(monkeypatch):
+    """Many texts at once: each distinct word goes through the library once, without the signs after it, and letters without pre-tokenizer also where words are lower-cased."""
+    signs = ["", ".", "...", "!?", "###", "%%%", "),", "'", "'s", "_", "\x03", "-"]
+    words = ["Straße", "слово", "İş", "ab", "AB", "1234", "x1", "été", "ΣΣ", "名前"]
+    texts = [f"{w}{s}{tail}" for w in words for s in signs for tail in ("", " b", "\nb", "\n\nb", " " + w)] + ["", " ", "a" + " word, Word" * 200]
+    monkeypatch.setattr(tokenizing, "TOGETHER", 2_000)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = ChunkEncoder(public_path(name))
+        learnt = []
+        encoder._learn = lambda new, was=encoder._learn: (learnt.extend(new), was(new))[1]
+        for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert len(learnt) == len(set(learnt)) and "ab###" not in learnt and "\x01###" in learnt
+        assert encoder.by_lower == (name == "word_bpe_49k.json")
+
+
+def test_the_memory_of_chunks_begins_anew(monkeypatch):
+    monkeypatch.setattr(tokenizing, "REMEMBERED", 50)
+    monkeypatch.setattr(tokenizing, "KEPT", 10)
+    monkeypatch.setattr(tokenizing, "TOGETHER", 100)
+    texts = [f"word{k} Wort{k % 7} {k}, end" for k in range(200)] * 2
+    encoder = ChunkEncoder(public_path("word_bpe_49k.json"))
+    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) < 200
