@@ -27,7 +27,8 @@ Jaccard distance d = 1 - J is a metric; two sets link when d <= r = 1 - s.
    linked with it.  What remains meets in blocks of sets that share a hash,
    those in the fewest pivots first; blocks still too large are cut by sizes,
    then into salts that meet two by two.
-6. One task joins a ring: each set is compared with those that share one of its
+6. One task joins the rings of a pivot, or one ring where a pivot has over
+   ``REGION_SETS`` sets: each set is compared with those that share one of its
    locally rarest hashes and are not connected with it already, so no group
    emits all its pairs.
 7. Links join classes into components by large and small stars.
@@ -342,14 +343,14 @@ def own_pairs(pivots: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def rings(known: DataFrame, percent: int) -> DataFrame:
-    """(region, node, label) of (pivot, node, label, same, total): rings around each pivot, one join distance wide, with the next ring's sets.
+    """(region, node, label, pivot, ring) of (pivot, node, label, same, total): rings around each pivot, one join distance wide, with the next ring's sets.
 
     Two sets within the join distance differ by no more in their distances to
     the pivot, so they are in one ring or in neighbouring ones.
     """
     ring = F.expr(f"((total - same) * 100) DIV (total * {max(100 - percent, 1)})").cast("int")
     rows = known.withColumn("ring", ring).withColumn("at", F.explode(F.when(F.col("ring") > 0, F.array("ring", F.col("ring") - 1)).otherwise(F.array("ring"))))
-    return mixed(rows.select(F.concat_ws("/", "pivot", "at").alias("region"), "node", "label"), "region")
+    return mixed(rows.select(F.concat_ws("/", "pivot", "at").alias("region"), "node", "label", "pivot", "ring"), "region")
 
 
 def with_hashes(docs: DataFrame, width: int) -> DataFrame:
@@ -536,6 +537,31 @@ def large_links(members: DataFrame, percent: int) -> DataFrame:
     return near.distinct().unionByName(region_links(left.join(hashes, ["of", "rep"]).drop("of"), percent))
 
 
+def window_links(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) with a < b: links of the sets around each pivot; ``members`` has (pivot, ring, node, label, text).
+
+    One task takes the sets around a pivot once and joins each ring with the
+    next one, so no set is sent to two rings, and texts are shorter than hashes.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = _Words()
+        sets = [shingle_set(t, width, known) for t in pdf["text"]]
+        own = [node_of(h) == node for h, node in zip(sets, pdf["node"].tolist(), strict=True)]  # rows that share an id may have other texts
+        pdf = pdf.drop(columns="text").assign(place=np.arange(len(sets)))[own].drop_duplicates("node").sort_values("node", kind="stable")
+        nodes, label, ring, place = (pdf[c].to_numpy() for c in ("node", "label", "ring", "place"))
+        found = [np.zeros((0, 2), np.int64)]
+        for at in sorted({max(r - k, 0) for r in ring.tolist() for k in (0, 1)}):
+            some = np.flatnonzero((ring == at) | (ring == at + 1))
+            if len(np.unique(label[some])) > 1:
+                links = join_sets([sets[k] for k in place[some].tolist()], percent, label[some])
+                found.append(nodes[some[np.array(links, np.int64).reshape(-1, 2)]])
+        ends = np.sort(np.concatenate(found), axis=1)
+        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return members.groupBy("pivot").applyInPandas(run, "a long, b long").distinct()
+
+
 def region_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) with a < b: links inside each region, joined by one task each; sets of one ``label``, if there, are connected already."""
 
@@ -596,15 +622,26 @@ def join_sets_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def ring_links(docs: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links inside rings (region, node, label)."""
+    """(a, b): links inside rings (region, node, label, pivot, ring).
+
+    The sets around a pivot, if no more than ``REGION_SETS``, are joined by one
+    task; of others each ring is.
+    """
     ids = classes.select("node", F.col("rep").alias("doc_id"))
+    around = members.groupBy("pivot", "node").agg(F.min("ring").alias("ring"), F.min("label").alias("label"))
+    wide = staged(around.groupBy("pivot").agg(F.count("*").alias("in")).where(F.col("in") > REGION_SETS).select("pivot"), "wide")
+    near = with_texts(docs, around.join(wide, "pivot", "left_anti").join(ids, "node")).select("pivot", "ring", "node", "label", "text")
+    links = window_links(near, width, percent)
+    if wide.isEmpty():
+        return links
+    members = members.join(wide, "pivot", "left_semi").select("region", "node", "label")
     counts = members.groupBy("region").agg(F.count("*").alias("in"))
     large = counts.where(F.col("in") > REGION_SETS).drop("in")
 
     def fetched(part: DataFrame) -> DataFrame:
         return with_hashes(with_texts(docs, part.join(ids, "node")).select("region", "node", "label", "text"), width)
 
+    links = links.unionByName(region_links(fetched(members.join(large, "region", "left_anti")), percent))
     if large.isEmpty():
-        return region_links(fetched(members), percent)
-    links = region_links(fetched(members.join(large, "region", "left_anti")), percent)
+        return links
     return links.unionByName(large_links(fetched(members.join(large, "region", "left_semi")), percent))

@@ -127,3 +127,18 @@ def test_awkward_rows(awkward):
 
 def test_empty_table(awkward):
     assert jaccard_join.join(awkward.where(F.lit(False))).count() == 0
+
+
+def test_sets_around_a_pivot_are_sent_once(spark, monkeypatch):
+    """Small regions: no set is sent to two rings, and the links are those of all pairs."""
+    texts, sent = edited(3, 120, 60), []
+    inner = jaccard_join.window_links
+
+    def counted(members, *args):
+        sent.extend(tuple(r) for r in members.select("pivot", "node").collect())
+        return inner(members, *args)
+
+    monkeypatch.setattr(jaccard_join, "window_links", counted)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert joined(df, width=2, percent=60) == brute(texts, 2, 60)
+    assert sent and len(sent) == len(set(sent))
