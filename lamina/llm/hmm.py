@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ ENDINGS = 1500
 STATES = 8
 ROUNDS = 8
 SEGMENT = 64
+#: Rows of blocks are large: the writer looks at their size after each and ends a row group there, so neither it nor a reader holds many.
+BLOCK_FILES = {"parquet.page.size.row.check.min": 1, "parquet.block.size": 32 << 20}
 _SIGNS = b".,;:!?|%#*$&\"'()[]"
 
 
@@ -72,9 +75,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "held", "lens", "words", "train", "at"])
 
         def fresh() -> dict[bytes, int]:
-            v: defaultdict[bytes, int] = defaultdict()
-            v.default_factory = v.__len__
-            return v
+            return defaultdict(count().__next__)  # not the dict's own __len__: such a cycle would keep every block's words
 
         vocab, rows, ids, held, chars = fresh(), [], [], [], 0
         for batch in batches:
@@ -246,7 +247,7 @@ def train(symbols: DataFrame, tokens: np.ndarray, rounds: int = ROUNDS) -> Model
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Base and model scores of (doc_id, held, text); learns from documents that are not held out."""
-    rows = staged(blocks(docs), "blocks")
+    rows = staged(blocks(docs), "blocks", **BLOCK_FILES)
     placed = rows.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
     counts = staged(placed.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     known = counts.where("c > 0")
@@ -256,7 +257,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     ends = rows.select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.sum("n")).first()[0] or 0
     n_all, v_all = int(tokens.sum()) + ends, int(kinds.sum()) + (ends > 0)
     tokens[0] = ends
-    model = train(staged(training_symbols(rows, top), "symbols"), tokens, rounds)
+    model = train(staged(training_symbols(rows, top), "symbols", **BLOCK_FILES), tokens, rounds)
     lost = np.log10(tokens + kinds + 1.0)  # of a word within its symbol
 
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:

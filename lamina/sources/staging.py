@@ -28,11 +28,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder."""
+def staged(df: DataFrame, name: str, compression: str = "zstd", **options: int) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder; ``options`` are the writer's."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

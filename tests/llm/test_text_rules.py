@@ -189,6 +189,43 @@ def test_language_model_of_awkward_rows(awkward):
     assert hmm.score(df.withColumn("held", F.lit(True)), rounds=1).where("n_known > 0").count() == 0
 
 
+def test_blocks_of_a_task_leave_no_cycles(monkeypatch):
+    """The words of a block are freed with it: a cycle would keep them until the collector happens to run, so a task would grow with its input."""
+    import gc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(hmm, "BLOCK_CHARS", 100)
+    frame = SimpleNamespace(select=lambda *_: frame, mapInArrow=lambda run, _: run)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": k, "held": k % 3 == 0, "text": f"same word{k} word{k} " * 4} for k in range(200)])
+    run = hmm.blocks(frame)
+    gc.collect()
+    gc.disable()
+    try:
+        made = sum(1 for _ in run(iter([batch])))
+        found = gc.collect()
+    finally:
+        gc.enable()
+    assert made > 50 and found < made
+
+
+def test_staged_blocks_are_read_one_by_one(spark, docs, monkeypatch):
+    """Each large row ends its row group, so neither writer nor reader holds many."""
+    import pyarrow.parquet as pq
+
+    from lamina.llm.common import staged
+
+    monkeypatch.setitem(hmm.BLOCK_FILES, "parquet.block.size", 1 << 10)
+    texts = docs.select("doc_id", F.lit(False).alias("held"), F.repeat("text", 40).alias("text")).coalesce(1)
+    monkeypatch.setattr(hmm, "BLOCK_CHARS", 2_000_000)
+    found = staged(hmm.blocks(texts), "blocks", **hmm.BLOCK_FILES)
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in found.inputFiles()]
+    assert found.count() > 3 and sum(f.num_row_groups for f in files) == found.count()
+
+
 def test_printed_fingerprints_tell_likeness(spark):
     parts = [f"Paragraph number {k} says something of its own." for k in range(60)]
     texts = [" ".join(parts), " ".join(parts[:55] + ["Another one here."]), " ".join(p.upper() for p in parts), ""]
