@@ -13,6 +13,9 @@ boxes wider than its rasters where boxes inside others are asked for.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from lamina.operators import lattice, sweep
 BIN = 64
 #: The same where only the lower left corners of one side are dealt.
 CORNER_BIN = 16
+#: Boxes of one side of a bin that a task compares with as many of the other, where all pairs are asked for.
+DEALT = 1 << 15
 
 
 def binned(df: DataFrame, size: int, grow: int = 0) -> DataFrame:
@@ -170,6 +175,40 @@ def members(a: DataFrame, b: DataFrame, invert: bool = False) -> DataFrame:
     return a.join(b.select(*g.BOX).distinct(), list(g.BOX), "left_anti" if invert else "left_semi")
 
 
+def placed_join(a: DataFrame, b: DataFrame, condition: Column, distance: int, size: int = BIN) -> DataFrame:
+    """As ``spatial_join``, of places: ``a.ids`` and ``b.ids`` are all rows with that box, as structs.
+
+    Boxes at one place are compared once, and their pairs are made where they are
+    written.  A task has some ``DEALT`` boxes of a side: its pairs have few
+    different ids, in runs, so they take little room.  Larger bins are dealt to
+    a grid of tasks.
+    """
+    spark = a.sparkSession
+    count = lambda df, grow, name: binned(df.select(*g.BOX), size, grow).groupBy("bx", "by").agg(F.count("*").alias(name))
+    load = count(a, distance, "left").join(count(b, 0, "right"), ["bx", "by"], "full").fillna(0)
+    total, most = load.agg(F.sum(F.col("left") + F.col("right")), F.max(F.greatest("left", "right"))).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // DEALT))
+    crowded = (most or 0) > DEALT
+    keys = ["bx", "by"]
+    if crowded:
+        grid = load.where(F.greatest("left", "right") > DEALT).select("bx", "by", *(F.greatest(F.ceil(F.col(c) / DEALT), F.lit(1)).cast("int").alias(c) for c in ("left", "right")))
+        keys += ["row", "column"]
+
+    def places(df: DataFrame, grow: int, own: str, other: str) -> DataFrame:
+        rows = binned(df.select("id", *g.BOX), size, grow)
+        if crowded:
+            at = {"left": "row", "right": "column"}
+            rows = rows.join(F.broadcast(grid), ["bx", "by"], "left").fillna(1, ["left", "right"])
+            rows = rows.withColumn(at[own], F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(at[other], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return rows.repartition(tasks, *keys).groupBy(*keys, *g.BOX).agg(F.sort_array(F.collect_list(F.struct("id"))).alias("ids"))
+
+    left, right = places(a, distance, "left", "right").alias("a"), places(b, 0, "right", "left").alias("b")
+    corner_x = F.floor(F.greatest(F.col("a.x0") - distance, F.col("b.x0")) / size) == F.col("a.bx")
+    corner_y = F.floor(F.greatest(F.col("a.y0") - distance, F.col("b.y0")) / size) == F.col("a.by")
+    same = reduce(and_, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
+    return left.join(right, same & g.touches("a", "b", distance) & corner_x & corner_y & condition)
+
+
 def space_pairs(a: DataFrame, b: DataFrame, distance: int, same: bool) -> DataFrame:
     """Facing edges of two boxes less than ``distance`` apart, projections overlapping: (first, second, gap, axis).
 
@@ -180,9 +219,15 @@ def space_pairs(a: DataFrame, b: DataFrame, distance: int, same: bool) -> DataFr
     gap_x, gap_y = F.greatest(bx0 - ax1, ax0 - bx1), F.greatest(by0 - ay1, ay0 - by1)
     beside = (gap_x > 0) & (gap_x < distance) & (ay0 < by1) & (by0 < ay1)
     above = (gap_y > 0) & (gap_y < distance) & (ax0 < bx1) & (bx0 < ax1)
-    order = F.col("a.id") < F.col("b.id") if same else F.lit(True)
-    pairs = spatial_join(a, b, order & (beside | above), distance)
-    return pairs.select(F.col("a.id").alias("first"), F.col("b.id").alias("second"), F.when(beside, gap_x).otherwise(gap_y).alias("gap"), F.when(beside, "x").otherwise("y").alias("axis"))
+    here, there = F.struct(*g.box("a")), F.struct(*g.box("b"))
+    pairs = placed_join(a, b, (beside | above) & (here <= there) if same else (beside | above), distance)
+    found = [F.when(beside, gap_x).otherwise(gap_y).alias("gap"), F.when(beside, "x").otherwise("y").alias("axis")]
+    pairs = pairs.select(F.explode("a.ids").alias("p"), F.col("b.ids").alias("ids"), *found, (here == there).alias("alike"))
+    pairs = pairs.select(F.col("p.id").alias("p"), F.explode("ids").alias("q"), "gap", "axis", "alike").select("p", F.col("q.id").alias("q"), "gap", "axis", "alike")
+    if same:
+        p, q = F.col("p"), F.col("q")
+        pairs = pairs.where((p < q) | (~F.col("alike") & (p > q))).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "gap", "axis")
+    return pairs.select(F.col("p").alias("first"), F.col("q").alias("second"), "gap", "axis")
 
 
 def enclosure_pairs(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:

@@ -129,3 +129,38 @@ def test_cut_lines_give_the_same_runs(spark):
     for keep in sweep.OPERATIONS:
         whole, cut = (sorted(map(repr, sweep.line_runs(edges, F.col("layer") == "a", F.col("layer") == "b", keep, span).collect())) for span in (None, 50))
         assert whole == cut and whole
+
+
+def _close(a, b, distance, same):
+    """Pairs by comparing all rows, as the SQL of the space checks does."""
+    found = []
+    for i, ax0, ay0, ax1, ay1 in a:
+        for j, bx0, by0, bx1, by1 in b:
+            gap_x, gap_y = max(bx0 - ax1, ax0 - bx1), max(by0 - ay1, ay0 - by1)
+            beside, above = 0 < gap_x < distance and ay0 < by1 and by0 < ay1, 0 < gap_y < distance and ax0 < bx1 and bx0 < ax1
+            if (beside or above) and (not same or (i is not None and j is not None and i < j)):
+                found.append((i, j, gap_x if beside else gap_y, "x" if beside else "y"))
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("dealt", [1 << 15, 3])
+def test_space_pairs_of_boxes_at_one_place(spark, monkeypatch, dealt):
+    """Many rows of one box, repeated rows, an id of several boxes, null ids; bins within their limit, and dealt to several tasks."""
+    rnd = random.Random(7)
+    boxes = [(x, y, x + w, y + h) for x, y, w, h in ((rnd.randrange(200), rnd.randrange(60), rnd.randrange(1, 30), rnd.randrange(1, 9)) for _ in range(25))]
+    sides = [[(f"{name}{k}", *rnd.choice(boxes)) for k in range(120)] for name in "ba"]
+    sides[0] += [sides[0][0], sides[0][0], ("b1", *boxes[3]), (None, *boxes[4]), (None, *boxes[5]), ("a7", *boxes[6])]
+    monkeypatch.setattr(spatial, "DEALT", dealt)
+    a, b = (spark.createDataFrame(s, "id string, x0 int, y0 int, x1 int, y1 int") for s in sides)
+    for left, right, rows, same in ((a, b, sides, False), (b, a, sides[::-1], False), (a, a, [sides[0]] * 2, True)):
+        want = _close(*rows, 4, same)
+        assert len(want) > 50 and sorted(map(tuple, spatial.space_pairs(left, right, 4, same).collect()), key=repr) == want
+
+
+def test_space_pairs_take_little_room(spark, tmp_path):
+    """Pairs grow with the square of the copies; what is written of each must stay small."""
+    copies = lambda kind, x0, x1: spark.range(60_000).selectExpr(f"concat_ws('-', '{kind}', md5(string(id))) AS id", f"int(id % 3000 * 100 + {x0}) AS x0", "0 AS y0", f"int(id % 3000 * 100 + {x1}) AS x1", "5 AS y1")
+    pairs = spatial.space_pairs(copies("a", 0, 10), copies("b", 12, 20), 4, same=False)
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 3000 * 20 * 20
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 10e6
